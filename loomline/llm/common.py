@@ -91,3 +91,17 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("l").alias("h"), F.col("h").alias("__ll_up"))
             hook = cut(hook.join(up, "h", "left").select("l", F.coalesce("__ll_up", "h").alias("h")))
         state = cut(seen.select("v", "l").join(hook, "l").select("v", F.col("h").alias("l")))
+
+
+def bounded_sample(rows: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by``, chosen by the hash of ``key`` alone.
+
+    Used only to fit classifiers.  Chosen by hash thresholds rather than ranks, so that no class is sorted or
+    gathered; the closing limit only bounds what rows that repeat one key could add.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}
+    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    keep = F.lit(False)
+    for value, n in sorted(counts.items(), key=str):
+        keep = keep | ((F.col(by) == F.lit(value)) & (share < int((1 << 30) * min(1.0, per_class / n))))
+    return rows.filter(keep).limit(4 * per_class * max(1, len(counts)))
