@@ -39,32 +39,51 @@ class CrfModel:
     lexicon: frozenset[str]
 
 
-def word_features(word: str, lexicon: frozenset[str]) -> tuple[list[int], list[float]]:
-    """Feature ids and values: affixes of 1 to 3 letters, n-grams of 2 and 3 (sharing one unit), lexicon entry."""
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    padded = f"^{word}$"
-    grams = [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
-    values = [0.5] * len(names) + [3.0 / len(grams)] * len(grams)
-    names += grams
-    if word in lexicon:
-        names.append(f"w{word}")
-        values.append(1.0)
-    return [xxhash.xxh32_intdigest(x) % FEATURES for x in names], values
+class _Ids(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """Feature ids of tuples of code points; a part that is absent is 0."""
+    h = np.zeros(1, np.uint64)
+    for p in parts:
+        h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ (h >> np.uint64(29))
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % FEATURES
 
 
 class _Rows:
-    """Sparse word-by-feature matrix."""
+    """Sparse word-by-feature matrix: affixes of 1 to 3 letters, character n-grams of 2 and 3 over the word
+    with its ends marked (together weighing 3 a word), and a lexicon entry for common words."""
 
     def __init__(self, words: list[str], lexicon: frozenset[str]):
-        ids, values, sizes = [], [], []
-        for w in words:
-            i, v = word_features(w, lexicon)
-            ids += i
-            values += v
-            sizes.append(len(i))
         self.n = len(words)
-        self.ids, self.values = np.array(ids, np.int64), np.array(values)
-        self.rows = np.repeat(np.arange(self.n), sizes)
+        chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, self.n) + 2
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(self.n), size)
+        ids, values, rows = [], [], []
+        weight = 3.0 / (2 * size - 3)
+        for n in (2, 3):
+            at = np.nonzero(row[: len(row) - n + 1] == row[n - 1 :])[0] if len(row) >= n else np.zeros(0, np.int64)
+            ids.append(_mixed(n, *[chars[at + j] for j in range(n)]))
+            rows.append(row[at])
+            values.append(weight[row[at]])
+        for n in (1, 2, 3):
+            for salt, index in ((10 + n, lambda j: first + 1 + j), (20 + n, lambda j: first + size - 2 - j)):
+                letters = [np.where(size - 2 > j, chars[np.minimum(np.maximum(index(j), 0), len(chars) - 1)], 0) for j in range(n)] if self.n else []
+                ids.append(_mixed(salt, *letters) if self.n else np.zeros(0, np.int64))
+                rows.append(np.arange(self.n))
+                values.append(np.full(self.n, 0.5))
+        known = np.array([i for i, w in enumerate(words) if w in lexicon], np.int64)
+        ids.append(np.array([xxhash.xxh32_intdigest(words[i]) % FEATURES for i in known.tolist()], np.int64))
+        rows.append(known)
+        values.append(np.ones(len(known)))
+        self.ids, self.values, self.rows = np.concatenate(ids), np.concatenate(values), np.concatenate(rows)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.rows, self.values * weights[self.ids, k], self.n) for k in range(weights.shape[1])], axis=1)
@@ -174,12 +193,8 @@ def mean_posteriors(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarr
 
 def label_texts(texts: list[str | None], model: CrfModel) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
-    ids: dict[str, int] = {}
-    per_text = []
-    for text in texts:
-        found = [w for w in WORDS.findall((text or "").lower())]
-        own = np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found))
-        per_text.append(own)
+    ids = _Ids()
+    per_text = [np.array([ids[w] for w in WORDS.findall((text or "").lower())], np.int64) for text in texts]
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not model.labels or not ids:
         return names, scores
