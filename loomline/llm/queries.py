@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import langid, line_dedup, quality, secrets, simhash
+from loomline.llm import brown, langid, line_dedup, quality, secrets, simhash
 from loomline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op8_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_held_out(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_brown_lm_scoring": op8_brown_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
