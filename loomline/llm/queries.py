@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import brown, hilbert_ann, langid, line_dedup, quality, secrets, simhash
+from loomline.llm import brown, hilbert_ann, langid, line_dedup, quality, secrets, simhash, suffix_dedup
 from loomline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", F.col("__ll_lines").alias("n_lines"), F.col("__ll_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_hilbert_ann": op2_hilbert_ann,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_brown_lm_scoring": op8_brown_lm_scoring,
