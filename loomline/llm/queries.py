@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import brown, hilbert_ann, langid, line_dedup, quality, secrets, simhash, suffix_dedup
+from loomline.llm import brown, decontaminate, hilbert_ann, langid, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
 from loomline.llm.common import table
 
 
@@ -22,6 +22,19 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+#: Shares of the tokens after mixing.
+MIX_TARGETS = {"clean": 0.85, "poor": 0.12, "toxic": 0.03}
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return mixing.rates(table(spark, sf_dir, "documents", "doc_id", "text"), labelled, MIX_TARGETS)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", F.col("__ll_lines").alias("n_lines"), F.col("__ll_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -47,6 +60,8 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_hilbert_ann": op2_hilbert_ann,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_brown_lm_scoring": op8_brown_lm_scoring,
