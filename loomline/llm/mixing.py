@@ -21,8 +21,8 @@ from loomline.llm.common import bounded_sample, cut
 #: Labelled rows of each domain that fit the classifier, about; telling words kept; bins of a share; words that
 #: can be telling appear in at least so many sampled documents.
 FIT_ROWS, LEXICON, BINS, LEAST_DOCS = 1500, 300, 12, 5
-#: Most iterations, and the relative error of the totals at which they end.
-ROUNDS, TOLERANCE = 40, 1e-9
+#: Most iterations, and the error of the totals, relative to all tokens, at which they end.
+ROUNDS, TOLERANCE = 40, 1e-6
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS, CAPITALS = r"[!#$%&*|<>{}=]", r"[A-Z]"
 
@@ -139,25 +139,36 @@ def _rate(steps: list[list[float]]) -> Column:
 def fit_rates(table: DataFrame, shares: list[float], tokens: float | None = None) -> tuple[list[list[float]], list[float]]:
     """Gradient steps for ``table`` (``__ll_tokens``, ``__ll_p*``), and the domain totals that they reach.
 
-    Minimises (A(r) - b)' W (A(r) - b) over r >= 0, where A(r) are the expected domain totals, b = shares *
-    tokens (the table's own by default), and W is the inverse of sum t^2 p p'; in that metric a step of one
-    is never too long, and without active bounds one step is enough.
+    Minimises (A(r) - b)' W (A(r) - b) over r >= 0, where A(r) are the expected domain totals and b = shares *
+    tokens (the table's own by default).  W is the inverse of sum t^2 p p' over the documents whose rate is
+    positive; in that metric a step of one lands on the target unless further bounds become active.  A step
+    that doesn't lower the error is taken back and halved.
     """
     k = len(shares)
     a = [F.col("__ll_tokens") * F.col(f"__ll_p{i}") for i in range(k)]
-    gram = table.agg(*[F.coalesce(F.sum(a[i] * a[j]), F.lit(0.0)) for i in range(k) for j in range(k)], F.coalesce(F.sum("__ll_tokens"), F.lit(0))).first()
-    total = float(gram[k * k]) if tokens is None else tokens
-    if not gram[k * k]:
-        return [], [0.0] * k
-    weight = _inverse([[float(gram[i * k + j]) for j in range(k)] for i in range(k)])
-    target = [s * total for s in shares]
+    total = tokens
     steps: list[list[float]] = []
-    while True:
-        reached = [float(x) for x in table.select(_rate(steps).alias("r"), *[x.alias(f"a{i}") for i, x in enumerate(a)]).agg(*[F.sum(F.col("r") * F.col(f"a{i}")) for i in range(k)]).first()]
-        off = [x - y for x, y in zip(reached, target, strict=True)]
-        if len(steps) == ROUNDS or max(map(abs, off)) <= TOLERANCE * total:
-            return steps, reached
-        steps.append([float(f"{sum(weight[i][j] * off[j] for j in range(k)):.12e}") for i in range(k)])
+    best: tuple[float, list[list[float]], list[float]] | None = None
+    for _ in range(ROUNDS):
+        rated = table.select(_rate(steps).alias("r"), "__ll_tokens", *[x.alias(f"a{i}") for i, x in enumerate(a)])
+        sums = [F.sum(F.col("r") * F.col(f"a{i}")) for i in range(k)]
+        gram = [F.sum(F.when(F.col("r") > 0, F.col(f"a{i}") * F.col(f"a{j}"))) for i in range(k) for j in range(k)]
+        row = [float(x or 0) for x in rated.agg(*sums, *gram, F.sum("__ll_tokens")).first()]
+        if not row[-1]:
+            return [], [0.0] * k
+        total = row[-1] if total is None else total
+        off = [x - s * total for x, s in zip(row[:k], shares, strict=True)]
+        error = max(map(abs, off))
+        if best is None or error < best[0]:
+            best = (error, steps, row[:k])
+            weight = _inverse([row[k + i * k : k + i * k + k] for i in range(k)])
+            step = [float(f"{sum(weight[i][j] * off[j] for j in range(k)):.12e}") for i in range(k)]
+        else:
+            step = [x / 2 for x in step]
+        if best[0] <= TOLERANCE * total:
+            break
+        steps = [*best[1], step]
+    return best[1], best[2]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Domains, list[list[float]]]:
