@@ -70,12 +70,12 @@ class Items:
                     by_value[block][near].append(i)
         self.blocks = [[np.array(x, np.int64) for x in block] for block in by_value]
 
-    def candidates(self, fingerprint: np.ndarray, length: int) -> np.ndarray:
+    def candidates(self, fingerprint: np.ndarray, length: int) -> list[int]:
         """Items of ``length`` shingles within the radius of a fingerprint given as eight bytes."""
-        found = np.unique(np.concatenate([self.blocks[i][v] for i, v in enumerate(fingerprint.tolist())]))
+        found = np.concatenate([self.blocks[i][v] for i, v in enumerate(fingerprint.tolist())])
         found = found[self.lengths[found] == length]
         whole = fingerprint.view(">u8").astype(np.uint64)
-        return found[np.bitwise_count(self.prints[found] ^ whole) <= RADIUS]
+        return sorted(set(found[np.bitwise_count(self.prints[found] ^ whole) <= RADIUS].tolist()))
 
     def match(self, words: list[bytes]) -> list[tuple[int, float, int]]:
         """(item's place, similarity, first word) of the best window of each matching item."""
@@ -84,7 +84,8 @@ class Items:
         if not hit.any():
             return []
         where = np.nonzero(hit)[0]
-        hit[where] = np.isin(hashes[where], self.known)
+        some = hashes[where]
+        hit[where] = self.known[np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)] == some
         total = np.concatenate([[0], np.cumsum(hit)])
         if not total[-1]:
             return []
@@ -98,7 +99,7 @@ class Items:
                 ones = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(hashes[first:last]), axis=0, dtype=np.int32)])
                 prints = np.packbits(2 * (ones[lot - first + size] - ones[lot - first]) > size, axis=1)
                 for at, fingerprint in zip(lot.tolist(), prints, strict=True):
-                    for i in self.candidates(fingerprint, m).tolist():
+                    for i in self.candidates(fingerprint, m):
                         s = similarity(Counter(hashes[at : at + size].tolist()), self.counts[i])
                         if s >= SIMILARITY and (i not in best or s > best[i][0]):
                             best[i] = (s, at)
