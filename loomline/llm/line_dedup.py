@@ -238,7 +238,7 @@ def _routed(docs: DataFrame, index: DataFrame, repeated: DataFrame, shards: int,
     seen = cut(line_hashes(docs, min_chars).distinct().withColumn("shard", F.pmod("h1", F.lit(shards))))
     salts = cut(seen.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")))
     probes = seen.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("h1", "h2", "doc_id"), F.col("salts"))).drop("salts")
-    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long")).drop("salts")
+    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
 
     def probe(occurrences: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(occurrences) or not len(shard):
