@@ -18,10 +18,16 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     if not fs.exists(hadoop) or not fs.getFileStatus(hadoop).isDirectory():
         raise ValueError(f"Not a directory: {path}")
     root = fs.resolvePath(hadoop).toString().rstrip("/") + "/"
-    if not fs.listFiles(hadoop, True).hasNext():
-        return spark.createDataFrame([], "file_id long, path string, length long, content binary, is_text boolean")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "length", "content")
+    listed, empty, some = fs.listFiles(hadoop, True), [], False
+    while listed.hasNext():  # the scan leaves empty files out
+        one = listed.next()
+        some = some or one.getLen() > 0
+        if not one.getLen():
+            empty.append((one.getPath().toString()[len(root) :], 0, bytearray()))
+    files = spark.createDataFrame(empty, "path string, length long, content binary")
+    if some:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        files = files.union(read.select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "length", "content"))
     numbered = positions(files.select("path", F.split("path", "/").alias("parts")), ["parts"], "file_id").drop("parts")
     files = files.join(numbered, "path")
     return files.select("file_id", "path", "length", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"))
