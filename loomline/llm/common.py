@@ -7,7 +7,6 @@ in the shared folder of ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.session import cut
+
 #: The white space that separates words and pads lines (fixed values).
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -24,23 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is a
-    single local JVM (tests) a temporary folder stands in.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loomline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null ids: null)."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
@@ -73,23 +57,25 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids.
 
     ``edges`` has columns ``a`` and ``b``; returns ``(v, l)``, ``l`` being the smallest node of v's
-    component, for every node that has an edge.  Each round every component adopts the smallest label
-    next to it and pointers are then halved, so rounds grow with the logarithm of the diameter.  All
-    joins are between two checkpointed tables, so that a skewed label is split at run time; no group is
-    gathered.  An empty graph gives an empty table.
+    component, for every node that has an edge.  Each round every label adopts the smallest label
+    next to it and the paths of adopted labels are halved to their ends, so at least half of the labels that
+    aren't final go in each round.  All joins are between two checkpointed tables, so that a skewed label is
+    split at run time; no group is gathered.  An empty graph gives an empty table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.filter("a <> b").distinct())
-    state = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
+    state = cut(both.select(F.col("a").alias("v"), F.col("a").alias("l")).distinct())
     while True:
         near = both.join(state.withColumnRenamed("v", "a"), "a").groupBy("b").agg(F.min("l").alias("m"))
         seen = cut(state.join(near, state.v == near.b).select("v", "l", F.least("l", "m").alias("n")))
         hook = cut(seen.groupBy("l").agg(F.min("n").alias("h")))
         if not hook.filter("h < l").limit(1).count():
             return state
-        for _ in range(3):
+        while True:  # each label points to a smaller one or itself: halve the paths until all point to their ends
             up = hook.select(F.col("l").alias("h"), F.col("h").alias("__ll_up"))
-            hook = cut(hook.join(up, "h", "left").select("l", F.coalesce("__ll_up", "h").alias("h")))
+            hook = cut(hook.join(up, "h").select("l", F.col("__ll_up").alias("h"), (F.col("__ll_up") < F.col("h")).alias("moved")))
+            if not hook.filter("moved").limit(1).count():
+                break
         state = cut(seen.select("v", "l").join(hook, "l").select("v", F.col("h").alias("l")))
 
 
