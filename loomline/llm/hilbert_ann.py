@@ -24,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomline.llm.common import cut
 
@@ -209,7 +208,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURV
     distinct = cut(distinct_vectors(rows, k + 1))
     total = distinct.count()
     if not total:
-        return vectors.sparkSession.createDataFrame([], T.StructType().add("query_id", "long").add("rank", "int").add("vec_id", "long").add("score", "double"))
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = F.pmod(F.xxhash64("did"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / total))
     sample = _matrix(distinct.filter(share).select("did", "vec").limit(2 * SAMPLE).orderBy("did").toPandas().vec)
     if not len(sample):
