@@ -70,6 +70,51 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_suffix_array_dedup": r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS pos FROM texts WHERE length(h) >= 100),
+strings AS (SELECT doc_id, pos, substr(h, (2 * pos + 1)::BIGINT, 100) AS s FROM windows),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT strings.doc_id, pos FROM strings JOIN firsts ON strings.s = firsts.s WHERE first < strings.doc_id),
+near AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone),
+runs AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM near),
+spans AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 50 AS b FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS last_b FROM spans),
+sums AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS b,
+         string_agg(substr(h, (2 * last_b + 1)::BIGINT, (2 * (a - last_b))::BIGINT), '' ORDER BY run) AS kept
+  FROM cuts JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN s.doc_id IS NULL THEN h ELSE s.kept || substr(h, (2 * s.b + 1)::BIGINT) END)) AS kept_sha256
+FROM texts t LEFT JOIN sums s ON t.doc_id = s.doc_id
+""",
+    "op4_benchmark_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+item_words AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+doc_shingles AS (
+  SELECT doc_id, len(w) - 4 AS n, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 5)) AS pos FROM doc_words WHERE len(w) >= 5)),
+item_positions AS (
+  SELECT item_id, len(w) - 4 AS m, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS s
+  FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 5)) AS pos FROM item_words WHERE len(w) >= 5)),
+item_shingles AS (SELECT item_id, m, s, count(*) AS c FROM item_positions GROUP BY ALL),
+hits AS (SELECT DISTINCT d.doc_id, i.item_id, i.m, least(i.m, d.n) AS size, d.n, d.pos FROM doc_shingles d JOIN item_shingles i ON d.s = i.s),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, m, size, start FROM (
+    SELECT *, unnest(generate_series(greatest(0, pos - size + 1), least(pos, n - size))) AS start FROM hits)),
+counted AS (
+  SELECT x.doc_id, x.item_id, x.m, x.size, x.start, d.s, count(*) AS c
+  FROM starts x JOIN doc_shingles d ON d.doc_id = x.doc_id AND d.pos >= x.start AND d.pos < x.start + x.size
+  GROUP BY ALL),
+shared AS (
+  SELECT k.doc_id, k.item_id, k.m, k.size, k.start, sum(least(k.c, i.c)) AS met
+  FROM counted k JOIN item_shingles i ON k.item_id = i.item_id AND k.m = i.m AND k.s = i.s GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, (met / (m + size - met))::DOUBLE AS similarity FROM shared),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8)
+SELECT doc_id, item_id, start::BIGINT AS first_word, similarity FROM best WHERE r = 1
+""",
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

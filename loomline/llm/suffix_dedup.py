@@ -41,7 +41,7 @@ from loomline.llm.suffix_groups import suffix_array, suffix_arrays
 WINDOW, GRAM, SIDE = 50, 24, 13
 KEY = GRAM + SIDE
 #: Bytes of text in a pack, owners in a bucket of step 2 and parts in a bucket of step 4, about.
-PACK_BYTES, BUCKET_OWNERS, BUCKET_PARTS = 4 << 20, 1_500_000, 300_000
+PACK_BYTES, BUCKET_OWNERS, BUCKET_PARTS = 4 << 20, 500_000, 150_000
 #: Texts longer than this are cut for owner search, with an overlap of a window; positions take 24 bits.
 SEGMENT = 8 << 20
 #: Symbols below which small texts are sorted in lockstep.
@@ -155,11 +155,30 @@ def _settled(pack: Pack, copied: list | None) -> list[bool]:
     return out
 
 
-def _pack_owners(pack: Pack, skip: list[bool]):
-    """(place, text, runs) of each document searched, and the pack's distinct owners in order."""
-    runs = [(i, t, owners(t)) for i, t in enumerate(pack.texts) if not skip[i] and len(t) >= WINDOW]
-    every = np.concatenate([r[3] for _, _, r in runs]) if runs else np.zeros(0, np.uint64)
-    return runs, np.unique(every)
+class _Owners:
+    """The owner runs of a pack: documents searched as (place in the pack, text, (first, end, place) of the runs), the
+    pack's distinct owners in order, and for each run, document after document, which of them it has."""
+
+    def __init__(self, pack: Pack, skip: list[bool]):
+        found = [(i, t, owners(t)) for i, t in enumerate(pack.texts) if not skip[i] and len(t) >= WINDOW]
+        self.docs = [(i, t, r[:3]) for i, t, r in found]
+        self.sizes = np.array([len(r[3]) for _, _, r in found], np.int64)
+        every = np.concatenate([r[3] for _, _, r in found]) if found else np.zeros(0, np.uint64)
+        self.order = np.argsort(every)
+        ranked = every[self.order]
+        fresh = np.ones(len(ranked), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        self.starts = np.nonzero(fresh)[0]
+        self.distinct = ranked[self.starts]
+        self.which = np.empty(len(every), np.int64)
+        self.which[self.order] = np.cumsum(fresh) - 1
+
+    def several(self) -> np.ndarray:
+        """Which distinct owners two documents have."""
+        if not len(self.starts):
+            return np.zeros(0, bool)
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.order]
+        return np.minimum.reduceat(doc, self.starts) < np.maximum.reduceat(doc, self.starts)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -173,10 +192,8 @@ def _send_owners(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, sizes, data, copied in _each(batches):
             pack = Pack(ids, sizes, data)
-            runs, distinct = _pack_owners(pack, _settled(pack, copied))
-            by_doc = [np.unique(r[3]) for _, _, r in runs]
-            every = np.concatenate(by_doc) if by_doc else distinct
-            several = np.bincount(np.searchsorted(distinct, every), minlength=len(distinct)) > 1
+            own = _Owners(pack, _settled(pack, copied))
+            distinct, several = own.distinct, own.several()
             bucket = _bucket(distinct, buckets)
             rows = [(-1, np.array(copied or [], np.int64).tobytes(), b"")]
             for b in np.unique(bucket).tolist():
@@ -210,33 +227,34 @@ def _meet_owners(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pack": group.pack, "bucket": group.bucket, "bits": bits, "n": [int(x.sum()) for x in np.split(out, ends[:-1])]})
 
 
-def _parts(runs, distinct: np.ndarray, replies, buckets: int):
-    """The candidate parts of a pack: {(key, side, shift, bytes): entry}, and for each the windows (document's place
-    in runs, first window) that it stands for."""
-    bucket = _bucket(distinct, buckets)
-    shared = np.zeros(len(distinct), bool)
+def _parts(own: _Owners, replies, buckets: int):
+    """The candidate parts of a pack: {(side, shift, bytes): entry}, and for each the windows (place in ``own.docs``,
+    first window) that it stands for."""
+    bucket = _bucket(own.distinct, buckets)
+    shared = np.zeros(len(own.distinct), bool)
     for r in replies:
         if r["bucket"] >= 0:
             mine = np.nonzero(bucket == r["bucket"])[0]
             shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
+    hits = np.split(shared[own.which], np.cumsum(own.sizes)[:-1]) if len(own.docs) else []
     entries: dict[tuple[int, int, bytes], int] = {}
     windows: list[list[tuple[int, int]]] = []
-    for place, (_, text, (s, e, p, h)) in enumerate(runs):
-        hit = shared[np.searchsorted(distinct, h)]
-        for a, b, at in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist()):
+    for place, ((_, text, (s, e, p)), hit) in enumerate(zip(own.docs, hits, strict=True)):
+        for a, b, at in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist(), strict=True):
             middle = min(max(a, at - SIDE), b)  # windows before it have more on the left
             if middle < b:
-                _note(entries, windows, (0, at - middle, text[middle : b + WINDOW - 1]), place, middle)
+                _note(entries, windows, (0, at - middle, text[middle : b + WINDOW - 1]), (place, middle))
             if a < middle:
-                _note(entries, windows, (1, at - SIDE - a, text[a : middle + WINDOW - 1]), place, a)
+                _note(entries, windows, (1, at - SIDE - a, text[a : middle + WINDOW - 1]), (place, a))
     return entries, windows
 
 
-def _note(entries: dict, windows: list, entry: tuple[int, int, bytes], place: int, first: int) -> None:
+def _note(entries: dict, windows: list, entry: tuple[int, int, bytes], window: tuple[int, int]) -> None:
     n = entries.setdefault(entry, len(windows))
     if n == len(windows):
-        windows.append([])
-    windows[n].append((place, first))
+        windows.append([window])
+    else:
+        windows[n].append(window)
 
 
 def _part_bucket(entry: tuple[int, int, bytes], buckets: int) -> int:
@@ -251,11 +269,12 @@ def _send_parts(owner_buckets: int, part_buckets: int):
         press = zstandard.ZstdCompressor(level=1)
         for number, ids, sizes, data, replies in _each(batches):
             pack = Pack(ids, sizes, data)
-            runs, distinct = _pack_owners(pack, _settled(pack, _copied(replies)))
-            entries, windows = _parts(runs, distinct, replies, owner_buckets)
+            own = _Owners(pack, _settled(pack, _copied(replies)))
+            entries, windows = _parts(own, replies, owner_buckets)
+            ids_of = pack.ids[[i for i, _, _ in own.docs]].tolist()
             dealt: dict[int, list] = {}
-            for (entry, n) in entries.items():
-                has = [pack.ids[runs[place][0]] for place, _ in windows[n]]
+            for entry, held in zip(entries, windows, strict=True):
+                has = [ids_of[place] for place, _ in held]
                 dealt.setdefault(_part_bucket(entry, part_buckets), []).append((entry, min(has), max(has)))
             rows = []
             for b, found in dealt.items():
@@ -384,8 +403,9 @@ def _remove(owner_buckets: int, part_buckets: int):
         for _, ids, sizes, data, replies, verdicts in _each(batches):
             pack = Pack(ids, sizes, data)
             copied = _copied(replies)
-            runs, distinct = _pack_owners(pack, _settled(pack, copied))
-            entries, windows = _parts(runs, distinct, replies, owner_buckets)
+            own = _Owners(pack, _settled(pack, copied))
+            entries, windows = _parts(own, replies, owner_buckets)
+            places, all_ids = [i for i, _, _ in own.docs], pack.ids.tolist()
             by_bucket: dict[int, list[int]] = {}
             for entry, n in entries.items():
                 by_bucket.setdefault(_part_bucket(entry, part_buckets), []).append(n)
@@ -394,8 +414,8 @@ def _remove(owner_buckets: int, part_buckets: int):
                 order = by_bucket[v["bucket"]]
                 for n, a, b, least in np.frombuffer(open_.decompress(v["runs"]), np.int64).reshape(-1, 4).tolist():
                     for place, first in windows[order[n]]:
-                        i = runs[place][0]
-                        if pack.ids[i] > least:
+                        i = places[place]
+                        if all_ids[i] > least:
                             gone.setdefault(i, []).append((first + a, first + b - 1 + WINDOW))
             starts, ends, kept = [], [], []
             for i, text in enumerate(pack.texts):
@@ -409,7 +429,7 @@ def _remove(owner_buckets: int, part_buckets: int):
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text)
                 starts.append([s[0] for s in spans])
                 ends.append([s[1] for s in spans])
-            doc_id = pa.array([None if x == NULL_ID else x for x in pack.ids.tolist()], pa.int64())
+            doc_id = pa.array([None if x == NULL_ID else x for x in all_ids], pa.int64())
             longs = pa.list_(pa.int64())
             digest = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(t) for t in pack.texts], pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "starts", "ends", "kept", "kept_sha256"])
