@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scalar
 from loomline.functions.patterns import CANONICAL_INT, KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER, SIMPLE
 from loomline.operators import chunks, columns, metrics, structure, templates
-from loomline.session import cut
+from loomline.session import cut, shared_folder
 from loomline.sources.corpora import rows_as_files, table_lines
 from loomline.streaming import counts as streaming
 
@@ -521,15 +521,15 @@ def q_format_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").select("ts", F.col("props").alias("line"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("line"))
 
 
 @query("q_stream_template_counts", f"SELECT regexp_replace(props, {_q(SIMPLE)}, '{{}}', 'g') AS template, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_template_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streaming.drain(streaming.stream_templates(_event_stream(spark, d)), spark, "complete", f"templates_{uuid.uuid4().hex}")
+    return streaming.drain(streaming.stream_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("q_windowed_template_counts", f"SELECT time_bucket(INTERVAL 1 hour, ts)::TIMESTAMP AS window_start, regexp_replace(props, {_q(SIMPLE)}, '{{}}', 'g') AS template, count(*) AS n FROM events GROUP BY ALL")
 def q_windowed_template_counts(spark: SparkSession, d: str) -> DataFrame:
-    counted = streaming.drain(streaming.windowed_templates(_event_stream(spark, d)), spark, "complete", f"windows_{uuid.uuid4().hex}")
+    counted = streaming.drain(streaming.windowed_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.templates import display, parts_of
@@ -20,7 +20,11 @@ def windowed_templates(lines: DataFrame, width: str = "1 hour", late: str = "10
     return counted.select(F.col("w.start").alias("window_start"), "template", "n")
 
 
-def drain(stream: DataFrame, spark: SparkSession, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote (through a memory table)."""
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run an aggregating stream over all that is there now; the whole result is kept as Parquet in ``folder``."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
