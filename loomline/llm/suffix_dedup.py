@@ -227,8 +227,12 @@ def _meet_owners(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pack": group.pack, "bucket": group.bucket, "bits": bits, "n": [int(x.sum()) for x in np.split(out, ends[:-1])]})
 
 
+#: What a part's bytes are preceded by: its side and where its key starts.
+_HEADS = [[bytes([side, shift]) for shift in range(SIDE + 1)] for side in (0, 1)]
+
+
 def _parts(own: _Owners, replies, buckets: int):
-    """The candidate parts of a pack: {(side, shift, bytes): entry}, and for each the windows (place in ``own.docs``,
+    """The candidate parts of a pack: {side, shift and bytes: entry}, and for each the windows (place in ``own.docs``,
     first window) that it stands for."""
     bucket = _bucket(own.distinct, buckets)
     shared = np.zeros(len(own.distinct), bool)
@@ -237,29 +241,30 @@ def _parts(own: _Owners, replies, buckets: int):
             mine = np.nonzero(bucket == r["bucket"])[0]
             shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
     hits = np.split(shared[own.which], np.cumsum(own.sizes)[:-1]) if len(own.docs) else []
-    entries: dict[tuple[int, int, bytes], int] = {}
-    windows: list[list[tuple[int, int]]] = []
+    windows: dict[bytes, list[tuple[int, int]]] = {}
+    left, right = _HEADS[1], _HEADS[0]
     for place, ((_, text, (s, e, p)), hit) in enumerate(zip(own.docs, hits, strict=True)):
         for a, b, at in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist(), strict=True):
             middle = min(max(a, at - SIDE), b)  # windows before it have more on the left
             if middle < b:
-                _note(entries, windows, (0, at - middle, text[middle : b + WINDOW - 1]), (place, middle))
+                part = right[at - middle] + text[middle : b + WINDOW - 1]
+                if part in windows:
+                    windows[part].append((place, middle))
+                else:
+                    windows[part] = [(place, middle)]
             if a < middle:
-                _note(entries, windows, (1, at - SIDE - a, text[a : middle + WINDOW - 1]), (place, a))
-    return entries, windows
-
-
-def _note(entries: dict, windows: list, entry: tuple[int, int, bytes], window: tuple[int, int]) -> None:
-    n = entries.setdefault(entry, len(windows))
-    if n == len(windows):
-        windows.append([window])
-    else:
-        windows[n].append(window)
+                part = left[at - SIDE - a] + text[a : middle + WINDOW - 1]
+                if part in windows:
+                    windows[part].append((place, a))
+                else:
+                    windows[part] = [(place, a)]
+    return windows
 
 
-def _part_bucket(entry: tuple[int, int, bytes], buckets: int) -> int:
-    side, shift, text = entry
-    return xxhash.xxh3_64_intdigest(text[shift : shift + KEY], side) % buckets
+def _key(part: bytes) -> bytes:
+    """Side and key of a part."""
+    at = part[1] + 2
+    return part[:1] + part[at : at + KEY]
 
 
 def _send_parts(owner_buckets: int, part_buckets: int):
@@ -270,17 +275,20 @@ def _send_parts(owner_buckets: int, part_buckets: int):
         for number, ids, sizes, data, replies in _each(batches):
             pack = Pack(ids, sizes, data)
             own = _Owners(pack, _settled(pack, _copied(replies)))
-            entries, windows = _parts(own, replies, owner_buckets)
+            windows = _parts(own, replies, owner_buckets)
             ids_of = pack.ids[[i for i, _, _ in own.docs]].tolist()
             dealt: dict[int, list] = {}
-            for entry, held in zip(entries, windows, strict=True):
-                has = [ids_of[place] for place, _ in held]
-                dealt.setdefault(_part_bucket(entry, part_buckets), []).append((entry, min(has), max(has)))
+            for part, held in windows.items():
+                first = last = ids_of[held[0][0]]
+                if len(held) > 1:
+                    has = [ids_of[place] for place, _ in held]
+                    first, last = min(has), max(has)
+                dealt.setdefault(xxhash.xxh3_64_intdigest(_key(part)) % part_buckets, []).append((part, first, last))
             rows = []
             for b, found in dealt.items():
-                head = np.array([(x[0][0], x[0][1], len(x[0][2])) for x in found], np.uint8).tobytes()
+                sizes = bytes([len(x[0]) for x in found])
                 least, most = (np.array([x[i] for x in found], np.int64).tobytes() for i in (1, 2))
-                rows.append((b, len(found), press.compress(head + least + most + b"".join(x[0][2] for x in found))))
+                rows.append((b, len(found), press.compress(sizes + least + most + b"".join([x[0] for x in found]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "pack", "n", "data"])
 
     return run
@@ -348,32 +356,31 @@ class _KeyGroups:
 def _meet_parts(group: pd.DataFrame) -> pd.DataFrame:
     """Steps 3 and 4, in a bucket: for each pack the runs (entry, first window, after the last, smallest id) in which
     some of the entry's documents have a smaller one."""
-    number: dict[tuple[int, int, bytes], int] = {}
-    keys: dict[tuple[int, bytes], list[int]] = {}
+    number: dict[bytes, int] = {}
+    keys: dict[bytes, list[int]] = {}
     least: list[int] = []
     listed = []
     open_ = zstandard.ZstdDecompressor()
     for n, data in zip(group.n.tolist(), group.data, strict=True):
         blob = open_.decompress(data)
-        head = np.frombuffer(blob, np.uint8, 3 * n).reshape(n, 3).tolist()
-        low, high = (np.frombuffer(blob, np.int64, n, 3 * n + 8 * n * i).tolist() for i in (0, 1))
-        at, own = 19 * n, []
-        for (side, shift, size), a in zip(head, low, strict=True):
-            entry = (side, shift, blob[at : at + size])
+        low, high = (np.frombuffer(blob, np.int64, n, n + 8 * n * i).tolist() for i in (0, 1))
+        at, own = 17 * n, []
+        for size, a in zip(blob[:n], low, strict=True):
+            part = blob[at : at + size]
             at += size
-            i = number.setdefault(entry, len(least))
+            i = number.setdefault(part, len(least))
             if i == len(least):
                 least.append(a)
-                keys.setdefault((side, entry[2][shift : shift + KEY]), []).append(i)
+                keys.setdefault(_key(part), []).append(i)
             elif a < least[i]:
                 least[i] = a
             own.append(i)
         listed.append((own, high))
-    entries = list(number)
+    parts = list(number)
     groups = _KeyGroups()
     for members in keys.values():
         if len(members) > 1:
-            groups.add([(i, entries[i][1], entries[i][2]) for i in members])
+            groups.add([(i, parts[i][1], parts[i][2:]) for i in members])
     found = groups.least(np.array(least, np.int64))
     press = zstandard.ZstdCompressor(level=1)
     out = []
@@ -383,7 +390,7 @@ def _meet_parts(group: pd.DataFrame) -> pd.DataFrame:
             by_window = found.get(i)
             if by_window is None:
                 if least[i] < most:
-                    rows.append((n, 0, len(entries[i][2]) - WINDOW + 1, least[i]))
+                    rows.append((n, 0, len(parts[i]) - 2 - WINDOW + 1, least[i]))
                 continue
             ends = np.append(np.nonzero(by_window[1:] != by_window[:-1])[0] + 1, len(by_window)).tolist()
             a = 0
@@ -404,16 +411,16 @@ def _remove(owner_buckets: int, part_buckets: int):
             pack = Pack(ids, sizes, data)
             copied = _copied(replies)
             own = _Owners(pack, _settled(pack, copied))
-            entries, windows = _parts(own, replies, owner_buckets)
+            windows = _parts(own, replies, owner_buckets)
             places, all_ids = [i for i, _, _ in own.docs], pack.ids.tolist()
-            by_bucket: dict[int, list[int]] = {}
-            for entry, n in entries.items():
-                by_bucket.setdefault(_part_bucket(entry, part_buckets), []).append(n)
+            by_bucket: dict[int, list[list[tuple[int, int]]]] = {}
+            for part, held in windows.items():
+                by_bucket.setdefault(xxhash.xxh3_64_intdigest(_key(part)) % part_buckets, []).append(held)
             gone: dict[int, list[tuple[int, int]]] = {i: [(0, len(pack.texts[i]))] for i in copied}
             for v in verdicts or ():
                 order = by_bucket[v["bucket"]]
                 for n, a, b, least in np.frombuffer(open_.decompress(v["runs"]), np.int64).reshape(-1, 4).tolist():
-                    for place, first in windows[order[n]]:
+                    for place, first in order[n]:
                         i = places[place]
                         if all_ids[i] > least:
                             gone.setdefault(i, []).append((first + a, first + b - 1 + WINDOW))
