@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm import near_copies
 from loomline.llm.common import components, cut, slices, text_bytes
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -127,13 +128,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of its smallest doc_id.
-
-    Of rows that repeat that doc_id one stays.  Rows with a null doc_id can't be named by a group and stay.
-    """
-    found = cut(near_duplicates(docs))
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__ll_id")).distinct()
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id").cast("long") == F.col("__ll_id"), "left_semi")
-    if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each group of near copies; these link by shingle sets, not by fingerprints."""
+    return near_copies.keep_one(docs)
