@@ -164,23 +164,40 @@ def tokenize(lines: DataFrame) -> DataFrame:
     return lines.join(distinct.select("line", "a.*"), "line")
 
 
+def _unicode(pattern: str) -> str:
+    """The pattern in the JVM's syntax with the character classes, word ends and case folding of Python's str patterns."""
+    word, out, inside, i = r"[\p{L}\p{N}_]", "", False, 0
+    classes = {"d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}"}
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(c)
+        if c[1:] in classes:
+            out += classes[c[1:]] if inside else f"[{classes[c[1:]]}]"
+        elif c == r"\b" and not inside:
+            out += f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+        else:
+            inside = c == "[" or (inside and c != "]")
+            out += c
+    return out.replace("(?i:", "(?iu:")
+
+
 def kind_counts(line: Column) -> list[Column]:
     """A count for each kind, alone, and of key=value pairs."""
-    return [F.regexp_count(line, F.lit(p)).cast("long").alias(f"n_{k}") for k, p in KINDS.items()] + [F.regexp_count(line, F.lit(KEY_VALUE)).cast("long").alias("n_kv")]
+    return [F.regexp_count(line, F.lit(_unicode(p))).cast("long").alias(f"n_{k}") for k, p in KINDS.items()] + [F.regexp_count(line, F.lit(_unicode(KEY_VALUE))).cast("long").alias("n_kv")]
 
 
 def key_values(lines: DataFrame) -> DataFrame:
     """(file_id, line_index, key, value) of the key=value pairs of each line."""
-    keys, values = (F.regexp_extract_all("line", F.lit(KEY_VALUE), F.lit(i)) for i in (1, 2))
+    keys, values = (F.regexp_extract_all("line", F.lit(_unicode(KEY_VALUE)), F.lit(i)) for i in (1, 2))
     pairs = lines.select("file_id", "line_index", F.explode(F.arrays_zip(keys.alias("key"), values.alias("value"))).alias("kv"))
     return pairs.select("file_id", "line_index", F.lower("kv.key").alias("key"), F.col("kv.value").alias("value"))
 
 
 def normalized(part: Column) -> Column:
-    """Literal text with kinds replaced by their names, in built-in expressions (ASCII classes)."""
-    out = F.regexp_replace(F.lower(F.trim(part)), r"\s+", " ")
+    """Literal text with kinds replaced by their names, in built-in expressions."""
+    out = F.regexp_replace(F.lower(F.trim(part)), _unicode(r"\s+"), " ")
     for k in NORMAL_ORDER:
-        out = F.regexp_replace(out, KINDS[k], NORMAL_NAMES.get(k, f"<{k}>"))
+        out = F.regexp_replace(out, _unicode(KINDS[k]), NORMAL_NAMES.get(k, f"<{k}>"))
     return out
 
 

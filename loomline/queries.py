@@ -423,19 +423,19 @@ def q_zstd_sizes(spark: SparkSession, d: str) -> DataFrame:
 _ASCII = "octet_length(encode(line)) = length(line)"
 
 
-def _ascii_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of ASCII only: there the engines' character classes agree."""
-    return _per_corpus(lambda c: _longs(table_lines(spark, d, c), "line_index")).filter(F.octet_length("line") == F.length("line"))
+def _every_line(spark: SparkSession, d: str) -> DataFrame:
+    """All lines.  The SQL reads lines of ASCII only, where DuckDB's character classes agree."""
+    return _per_corpus(lambda c: _longs(table_lines(spark, d, c), "line_index"))
 
 
 @query("q_kind_counts", f"WITH {_ALL_LINES} SELECT corpus, file_id, line_index::BIGINT AS line_index, " + ", ".join(f"len(regexp_extract_all(line, {_q(p)}))::BIGINT AS n_{k}" for k, p in KINDS.items()) + f", len(regexp_extract_all(line, {_q(KEY_VALUE)}))::BIGINT AS n_kv FROM lines WHERE {_ASCII}")
 def q_kind_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _ascii_lines(spark, d).select("corpus", "file_id", "line_index", *structure.kind_counts(F.col("line")))
+    return _every_line(spark, d).select("corpus", "file_id", "line_index", *structure.kind_counts(F.col("line")))
 
 
 @query("q_kv_pairs", f"WITH {_ALL_LINES} SELECT corpus, file_id, line_index::BIGINT AS line_index, lower(unnest(regexp_extract_all(line, {_q(KEY_VALUE)}, 1))) AS key, unnest(regexp_extract_all(line, {_q(KEY_VALUE)}, 2)) AS value FROM lines WHERE {_ASCII}")
 def q_kv_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.union_all([structure.key_values(_ascii_lines(spark, d).filter(F.col("corpus") == c)).withColumn("corpus", F.lit(c)) for c in CORPORA])
+    return metrics.union_all([structure.key_values(_every_line(spark, d).filter(F.col("corpus") == c)).withColumn("corpus", F.lit(c)) for c in CORPORA])
 
 
 def _sql_normalize(text: str) -> str:
@@ -447,7 +447,7 @@ def _sql_normalize(text: str) -> str:
 
 @query("q_normalize", f"WITH {_ALL_LINES} SELECT corpus, file_id, line_index::BIGINT AS line_index, {_sql_normalize('line')} AS normal FROM lines WHERE {_ASCII}")
 def q_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _ascii_lines(spark, d).select("corpus", "file_id", "line_index", structure.normalized(F.col("line")).alias("normal"))
+    return _every_line(spark, d).select("corpus", "file_id", "line_index", structure.normalized(F.col("line")).alias("normal"))
 
 
 @query("q_v2_template")
