@@ -516,7 +516,7 @@ def q_format_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_format_bytes", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f} KB', n_chars / 1024.0) END AS said FROM documents WHERE n_chars < 1048576")
 def q_format_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").filter("n_chars < 1048576").select("doc_id", scalar.format_bytes(F.col("n_chars")).alias("said"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalar.format_bytes(F.col("n_chars")).alias("said"))
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

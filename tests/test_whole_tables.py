@@ -28,3 +28,9 @@ def test_structure_queries_read_every_line(spark, tmp_path):
     pairs = sorted((r.file_id, r.key, r.value) for r in queries.q_kv_pairs(spark, str(tmp_path)).collect())
     assert pairs == sorted((i, m[1].lower(), m[2]) for i, t in enumerate(LINES) for m in re.finditer(KEY_VALUE, t))
     assert {r.file_id: r.normal for r in queries.q_normalize(spark, str(tmp_path)).collect()} == {i: normal(t) for i, t in enumerate(LINES)}
+
+
+def test_format_bytes_of_every_document(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 2048), (3, 1 << 20), (4, 3 << 30), (5, None)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    said = {r.doc_id: r.said for r in queries.q_format_bytes(spark, str(tmp_path)).collect()}
+    assert said == {1: "5 B", 2: "2.0 KB", 3: "1.0 MB", 4: "3.00 GB", 5: "n/a"}
