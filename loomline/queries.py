@@ -398,6 +398,13 @@ def q_apply_delta(spark: SparkSession, d: str) -> DataFrame:
     return back.join(dictionary.select("chunk_id", F.col("data").alias("own")), "chunk_id").select("chunk_id", (F.col("data") == F.col("own")).alias("equal"))
 
 
+@query("q_sequential_deltas")
+def q_sequential_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas by the exact rule, in which only chunks kept whole are bases: a single pass over the ids."""
+    found = chunks.sequential_deltas(_chunk_tables(spark, d)[0])
+    return found.select("chunk_id", "base_id", "target_len", F.size("diffs").cast("long").alias("n_diffs"))
+
+
 @query("q_cdc_chunks")
 def q_cdc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.content_chunks(_files(spark, d)).select("file_id", F.col("seq").cast("long").alias("seq"), F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("length"))

@@ -1,7 +1,9 @@
+import random
 import re
 
 from loomline import queries
 from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
+from loomline.operators import chunks
 
 LINES = ["plain user1234 k=v 5", "größe=10 é12 naïve=ja k=ü,b", "é2024-01-02T03:04:05 ١٢ x²7", "a b=1 c=2 http://x.de/ü z", "Straße /pfad/ä/b éuser_abcd12 12é req-abcd1é", "a@b.deé ünit@web.de 1.2.3.4é ²1.2.3.4"]
 
@@ -34,3 +36,13 @@ def test_format_bytes_of_every_document(spark, tmp_path):
     spark.createDataFrame([(1, 5), (2, 2048), (3, 1 << 20), (4, 3 << 30), (5, None)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     said = {r.doc_id: r.said for r in queries.q_format_bytes(spark, str(tmp_path)).collect()}
     assert said == {1: "5 B", 2: "2.0 KB", 3: "1.0 MB", 4: "3.00 GB", 5: "n/a"}
+
+
+def test_sequential_deltas_look_past_64_deltas(spark, tmp_path):
+    rng = random.Random(3)
+    size = chunks.CHUNK
+    far = "".join(rng.choice("abcdef") for _ in range(size))
+    near = "".join(rng.choice("uvwxyz") for _ in range(size))
+    texts = [far, near, *(f"{n:04d}" + near[4:] for n in range(70)), "0000" + far[4:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.chunk_id: r.base_id for r in queries.QUERIES["q_sequential_deltas"](spark, str(tmp_path)).collect()} == {**dict.fromkeys(range(2, 72), 1), 72: 0}
