@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from loomline.llm import secrets
 
@@ -65,6 +66,18 @@ def test_long_text_with_many_spans(spark):
     assert row.n_assign == 5000 and row.spans.endswith(f"assign:{18 * 4999}:{18 * 4999 + 17}")
 
 
+def test_time_grows_with_the_spans(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "password=abcdefgh login=bob " * n, "")], SCHEMA)
+        began = time.time()
+        row = secrets.digest(docs).first()
+        assert row.n_assign == n and row.spans.count(",") == 2 * n - 1
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 15 * seconds(10_000) + 5
+
+
 def test_plan_has_no_python(spark):
     plan = secrets.digest(spark.createDataFrame([(1, "x", "")], SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
