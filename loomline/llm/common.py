@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,27 @@ def slices(batches: Iterator[pa.RecordBatch], text_index: int, most_bytes: int)
             yield batch.slice(start, step)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """The rows of a partition that is sorted by its first column, in tables that hold whole groups of equal values,
+    and where the groups end; a group that spans batches is held until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
+            held.append(batch)  # still within one group
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        key = rows.column(0).to_numpy()
+        ends = (np.nonzero(key[1:] != key[:-1])[0] + 1).tolist()
+        if ends:
+            yield rows.slice(0, ends[-1]).combine_chunks(), ends
+        held = rows.slice(ends[-1] if ends else 0).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, [rows.num_rows]
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

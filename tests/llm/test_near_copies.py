@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loomline.llm import near_copies, simhash
@@ -49,6 +50,40 @@ def test_groups_against_brute_force(spark, bucket):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_sketches_rule_out_no_linked_pair():
+    rng = np.random.default_rng(1)
+    for n in (1, 9, 60, 65, 500, 3000):
+        base = rng.integers(1 << 63, size=n).astype(np.uint64)
+        sets = [np.unique(base)]
+        for _ in range(60):
+            keep = base[rng.random(n) > rng.random() * 0.3]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(1 << 63, size=rng.integers(0, n // 8 + 1)).astype(np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        sets.sort(key=len)
+        size, sketches = np.array([len(s) for s in sets]), [near_copies._sketch(s) for s in sets]
+        few = list(near_copies._partners(size[:40], sketches[:40]))
+        many = list(near_copies._partners(size, sketches))
+        assert [x.tolist() for x in few] == [x.tolist() for x in many[:40]]
+        for i, near in enumerate(many):
+            for j in range(i):
+                met = near_copies._met(sets[i], sets[j])
+                if 5 * met >= 4 * (size[i] + size[j] - met):
+                    assert j in near
+
+
+def test_prefixes_of_linked_sets_meet_in_any_order():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 300):
+        base = np.unique(rng.integers(1 << 63, size=n).astype(np.uint64))
+        common = np.sort(rng.choice(base, size=n // 2, replace=False))
+        table = np.stack([common, rng.permutation(len(common)).astype(np.uint64) + np.uint64(1)])
+        for _ in range(50):
+            other = np.unique(np.concatenate([rng.choice(base, size=-(-9 * n // 10), replace=False), rng.integers(1 << 63, size=n // 12).astype(np.uint64)]))
+            met = near_copies._met(base, other)
+            if 5 * met >= 4 * (len(base) + len(other) - met):
+                assert np.intersect1d(near_copies.prefix(base, table), near_copies.prefix(other, table)).size
+
+
 def test_the_stage_drops_copies_whose_fingerprints_are_far_apart(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(10_000)}" for _ in range(200)]
