@@ -37,13 +37,13 @@ def check_base(rows, got):
     assert {r.train_tokens for r in got} == {total}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"head": 30, "placed": 20, "clustered": 10, "classes": 4}])
-def test_base_scores_and_gain(spark, bounds, monkeypatch):
+BOUNDS = [{}, {"head": 30, "clustered": 10, "classes": 4}, {"head": 5, "clustered": 5, "classes": 2}, {"head": 0}]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_base_scores_and_gain(spark, bounds):
     rows = corpus()
-    docs = spark.createDataFrame(rows, SCHEMA)
-    score = brown.score
-    monkeypatch.setattr(brown, "score", lambda a, b: score(a, b, **bounds))
-    got = brown.score_held_out(docs).collect()
+    got = brown.score_held_out(spark.createDataFrame(rows, SCHEMA), **bounds).collect()
     check_base(rows, got)
     if not bounds:  # enough classes to tell the two tongues apart
         held = [r for r in got if r.held_out and r.n_tokens > 20]
@@ -51,18 +51,61 @@ def test_base_scores_and_gain(spark, bounds, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, t, n) for i, t, n in corpus() if i is not None], SCHEMA)
-    counts = brown.word_counts(docs.select("text"))
-    m = brown.fit(docs.select("text"), counts, docs.count(), head=30, placed=20, clustered=10, classes=4)
-    assert np.allclose((10**m.transitions).sum(1), 1)
-    known = {bytes(r.word): r.c for r in counts.collect()}
-    by_class = Counter()
-    for i in range(20):
-        by_class[int(m.label[i])] += 10 ** m.emissions[i]
-    assert all(abs(v - 1) < 1e-9 for v in by_class.values())
-    rest = [c for w, c in known.items() if m.ids.get(w, 99) >= 20]
-    assert abs(sum((c + 1) * 10 ** m.emissions[-2] for c in rest) + 10 ** m.emissions[-2] - 1) < 1e-9  # and one unknown word
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_scores_against_a_plain_model(spark, bounds):
+    """Classes are the operator's; everything that follows from them is computed anew, token by token."""
+    texts = [t for i, t, _ in corpus() if i is not None and i % 3]
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in corpus()] + [(900, "never seen these words a1 b2 neither", 0)], SCHEMA)
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = brown.cut(brown.word_counts(training))
+    own = dict(bounds)
+    common = brown._common(counts, own.pop("head", brown.HEAD))
+    flagged = training.selectExpr("0L as doc_id", "text", "true as learn", "true as ask")
+    model = brown.fit(brown.cut(brown.numbered(flagged, [w for w, _ in common])), counts, common, len(texts), **own)
+    cls = {w: int(model.label[i]) for i, w in enumerate(model.words)}
+    assert (len(cls) == 0) == (bounds.get("head") == 0)
+    cls |= {bytes(r.word): r.cls for r in model.tail.collect()}
+    c = Counter(w for t in texts for w in words(t))
+    assert set(cls) == set(c) and {bytes(r.word): r.c for r in model.tail.collect()} == {w: c[w] for w in c if w not in model.words}
+    k, sizes, table = model.classes, Counter(), np.zeros((model.classes + 2,) * 2)
+    for w, n in c.items():
+        sizes[cls[w]] += n
+    for t in texts:
+        seq = [None, *words(t), None]
+        number = [k + 1 if w is None else k if c[w] == 1 else cls[w] for w in seq]
+        for i in range(len(seq) - 1):
+            table[number[i], number[i + 1]] += 1
+    share = (table.sum(0) + 1) / (table.sum() + k + 2)
+    p = (table + brown.MIX * share) / (table.sum(1, keepdims=True) + brown.MIX)
+    assert np.allclose(p.sum(1), 1)
+    once = sum(n == 1 for n in c.values())
+
+    def plain(text):
+        out, last = 0.0, k + 1
+        for w in [*words(text), None]:
+            now = k + 1 if w is None else cls.get(w, k)
+            out += math.log10(p[last, now]) + (0 if w is None else math.log10(c[w] / sizes[now]) if w in c else -math.log10(once + 1))
+            last = now
+        return out
+
+    got = brown.score(docs, training, **bounds).collect()
+    want = sorted((str(r.doc_id), round(plain(r.text), 6)) for r in docs.collect())
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_words_of_two_tongues_are_classed_apart_inside_and_outside_the_head(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{'ab'[i % 2]}{min(int(rng.expovariate(0.05)), 150)}" for _ in range(40)) for i in range(400)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = brown.cut(brown.word_counts(training))
+    common = brown._common(counts, 120)
+    lines = brown.cut(brown.numbered(training.selectExpr("0L as doc_id", "text", "true as learn", "true as ask"), [w for w, _ in common]))
+    model = brown.fit(lines, counts, common, len(texts), clustered=30, classes=2)
+    tongue = model.label[model.words.index(b"a0")], model.label[model.words.index(b"b0")]
+    assert tongue[0] != tongue[1]
+    every = [(w, model.label[i]) for i, w in enumerate(model.words)] + [(bytes(r.word), r.cls) for r in model.tail.collect()]
+    assert len(every) > len(model.words) > 30
+    assert sum(x == tongue[w[:1] == b"b"] for w, x in every) > 0.95 * len(every)
 
 
 def test_exchange_raises_the_likelihood():
