@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import bounded_sample, crc_bucket, slices, text_bytes
 
 PIECE, DICTIONARY, LEVEL = 4096, 64 << 10, 3
-#: Labelled rows of each class that fit the model, about, and pieces that each of them gives to it.
-FIT_ROWS, FIT_PIECES = 1500, 8
+#: Labelled rows of each class that fit the model, about; their texts are read whole.
+FIT_ROWS = 1500
 THRESHOLD = 0.3
 
 
@@ -78,14 +78,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _fit_text(text: bytes) -> bytes:
-    """The text, or if it is long ``FIT_PIECES`` pieces spread evenly over it."""
-    parts = pieces_of(text)
-    if len(parts) <= FIT_PIECES:
-        return text
-    return b"".join(parts[i * len(parts) // FIT_PIECES] for i in range(FIT_PIECES))
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CompressionModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1), on a bounded sample of rows.
 
@@ -98,13 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Compres
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
     chosen = F.broadcast(bounded_sample(known, "label", "doc_id", fit_rows))  # at most 8 * fit_rows ids
     texts = docs.filter("text is not null").join(chosen, "doc_id").select("doc_id", "label", "text")
-
-    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_fit_text(x) for x in text_bytes(batch.column(2))], pa.binary())], ["doc_id", "label", "text"])
-
-    rows = sorted((r.doc_id, int(r.label), bytes(r.text)) for r in texts.mapInArrow(cut_down, "doc_id long, label int, text binary").limit(8 * fit_rows).collect())
-    rows = [r for r in rows if r[2]]
+    rows = sorted((r.doc_id, int(r.label), r.text.encode()) for r in texts.limit(8 * fit_rows).toLocalIterator() if r.text)
     build, rest = rows[::2], rows[1::2]
     if len({r[1] for r in build}) < 2 or len({r[1] for r in rest}) < 2:
         return CompressionModel(b"", b"", (), prior)
@@ -118,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Compres
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """(doc_id, score) of every row.  Null and empty texts score the prior; rows that repeat each come back."""
+    """(doc_id, score) of every row.  Null and empty texts score the prior; texts of any length are scored whole; rows
+    that repeat each come back; columns other than ``doc_id`` and ``text`` are not read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
