@@ -1,8 +1,8 @@
 """Language identification with a linear-chain conditional random field over words.
 
 Each word of a text carries a label; emissions are linear in hashed affix, character n-gram and lexicon
-features of the word, and label transitions are learned.  Training sequences are spliced from runs of words
-of differently labelled documents, so that transitions are learned for code-switched text.  Forward-backward
+features of the word, and label transitions are learned.  Training texts are cut into runs of words, and these
+are shuffled and strung together, so that transitions are learned for code-switched text; every word is in one run.  Forward-backward
 gives each word's label posteriors; a text's language is the label with the largest mean posterior, and that
 mean is its score.  The model (a fixed number of weights) is broadcast; texts are labelled row by row.
 """
@@ -24,9 +24,9 @@ from loomline.llm.common import arrow_schema, bounded_sample, crc_bucket, slices
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
-#: Number of hashed features, labelled rows of each language that fit the model (about), words that each of
-#: those rows gives at most, words in all training sequences, and their length.
-FEATURES, FIT_ROWS, FIT_WORDS, TRAIN_WORDS, SEQUENCE = 1 << 16, 300, 1500, 300_000, 48
+#: Number of hashed features, labelled rows of each language that fit the model (about; their texts are read whole), and
+#: words of a training sequence.
+FEATURES, FIT_ROWS, SEQUENCE = 1 << 16, 200, 48
 #: A word this common in the sample is a lexicon entry.
 LEXICON_COUNT = 5
 
@@ -105,22 +105,21 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 40, seed: int = 7)
     if k < 2:
         return CrfModel(labels, np.zeros((FEATURES, k)), np.zeros((k, k)), lexicon)
     vocabulary = {w: i for i, w in enumerate(counts)}
-    by_label = [[np.array([vocabulary[w] for w in words]) for lab, words in samples if lab == name] for name in labels]
     rng = np.random.default_rng(seed)
-    n = max(1, min(TRAIN_WORDS, 4 * sum(map(len, (w for _, w in samples)))) // SEQUENCE)
-    x, y = np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), np.int64)
-    for i in range(n):
-        at = 0
-        while at < SEQUENCE:
-            lab = int(rng.integers(k))
-            doc = by_label[lab][int(rng.integers(len(by_label[lab])))]
-            size = min(int(rng.integers(4, 40)), SEQUENCE - at, len(doc))
-            start = int(rng.integers(len(doc) - size + 1))
-            x[i, at : at + size], y[i, at : at + size] = doc[start : start + size], lab
+    runs: list[tuple[int, list[int]]] = []
+    for lab, words in samples:
+        at, own = 0, [vocabulary[w] for w in words]
+        while at < len(own):
+            size = int(rng.integers(4, 40))
+            runs.append((labels.index(lab), own[at : at + size]))
             at += size
-    used, flat = np.unique(x.ravel(), return_inverse=True)  # words that no sequence drew teach nothing
-    x, every = flat.reshape(x.shape), list(vocabulary)
-    rows = _Rows([every[i] for i in used.tolist()], lexicon)
+    order = rng.permutation(len(runs)).tolist()
+    flat = np.array([w for i in order for w in runs[i][1]])
+    y = np.repeat([runs[i][0] for i in order], [len(runs[i][1]) for i in order])
+    whole = -(-len(flat) // SEQUENCE) * SEQUENCE
+    flat, y = np.resize(flat, whole), np.resize(y, whole)  # the last sequence is filled up from the first words
+    n, x, y = whole // SEQUENCE, flat.reshape(-1, SEQUENCE), y.reshape(-1, SEQUENCE)
+    rows = _Rows(list(vocabulary), lexicon)
     weights, transitions = np.zeros((FEATURES, k)), np.zeros((k, k))
     squares, squares_t = np.full_like(weights, 1e-2), np.full_like(transitions, 1e-2)
     gold_t = np.zeros((k, k))
@@ -215,19 +214,14 @@ def label_texts(texts: list[str | None], model: CrfModel) -> tuple[list[str], li
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> CrfModel:
-    """A model from ``docs`` (doc_id, text, lang): about ``fit_rows`` rows of each language, whole texts read,
-    ``FIT_WORDS`` words of each kept, spread evenly over it.  Null text or lang teaches nothing."""
+    """A model from ``docs`` (doc_id, text, lang): all words of about ``fit_rows`` rows of each language.  Null text or
+    lang teaches nothing; rows that repeat a doc_id are in the sample together or not at all."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
     sample = bounded_sample(known.select("doc_id", "text", "lang"), "lang", "doc_id", fit_rows)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                found = [w for w in WORDS.findall(text.lower()) if any(map(str.isalpha, w))]
-                runs = max(1, -(-len(found) // FIT_WORDS))
-                # whole runs of 50 words, one of every ``runs``
-                out.append(" ".join(w for i in range(0, len(found), 50 * runs) for w in found[i : i + 50]))
+            out = [" ".join(w for w in WORDS.findall(text.lower()) if any(map(str.isalpha, w))) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["lang", "words"])
 
     rows = sample.select("lang", "text").mapInArrow(words, "lang string, words string").collect()
@@ -237,7 +231,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> CrfModel:
 def predict(docs: DataFrame, model: CrfModel) -> DataFrame:
     """``docs`` with columns ``__ll_lang`` and ``__ll_score`` added; other columns pass through.
 
-    Null text and text without a letter get ``und`` and score 0.
+    Null text and text without a letter get ``und`` and score 0.  Texts of any length are labelled whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([*docs.schema.fields, T.StructField("__ll_lang", T.StringType()), T.StructField("__ll_score", T.DoubleType())])
@@ -257,7 +251,8 @@ def taught(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row."""
+    """(doc_id, held_out, lang_pred, score) of every row; without labelled rows all are ``und``.  Rows that repeat come
+    back each; null ids are in no fold, teach nothing and are not held out; other columns are not read."""
     found = predict(docs.select("doc_id", "text"), fit(taught(docs, folds, held_out)))
     held = F.coalesce(crc_bucket(F.col("doc_id"), folds) == held_out, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), F.col("__ll_lang").alias("lang_pred"), F.col("__ll_score").alias("score"))
