@@ -12,6 +12,7 @@ once for each block, and each row is decided by itself: nothing is shuffled, wha
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -19,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.common import arrow_schema, slices, text_bytes
@@ -106,16 +107,15 @@ class Items:
         return [(i, s, at) for i, (s, at) in sorted(best.items())]
 
 
-def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int | None, bytes]]]:
-    """The distinct items (item_id, text) in blocks of about ``block_bytes``, dealt by hash."""
+def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The distinct items (item_id, text) in blocks of about ``block_bytes``, dealt by the hash of their ids, one at a time."""
     items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    out = []
+    dealt = F.pmod(F.xxhash64(F.coalesce("item_id", F.xxhash64("text"))), F.lit(n))
     for block in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
-        out.append(sorted(((r.item_id, r.text.encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-    return out
+        rows = items.filter(dealt == block).collect()
+        yield sorted(((r.item_id, r.text.encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def index(block: list[tuple[int | None, bytes]]) -> list[Items]:
@@ -130,29 +130,59 @@ def index(block: list[tuple[int | None, bytes]]) -> list[Items]:
     return [Items(size, *found) for size, found in sorted(by_size.items())]
 
 
+#: The last block that this worker has indexed, by the name it was sent under.
+_LAST: dict[str, list[Items]] = {}
+
+
+def _sent(spark: SparkSession, block: list[tuple[int | None, bytes]]):
+    """A block on its way to the workers, under a name of its own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+
+def _indexed(held) -> list[Items]:
+    """The index of a block that was sent; tasks of one worker share it."""
+    name, block = held.value
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = index(block)
+    return _LAST[name]
+
+
+def _best(indexed: list[Items], words: list[bytes]) -> list[tuple[int | None, float, int]]:
+    """(item_id, similarity, first word) of the best window of each item found; of several texts of an item the best."""
+    found: dict[object, tuple[int | None, float, int]] = {}
+    for own in indexed:
+        for i, s, at in own.match(words):
+            item = own.ids[i]
+            key = (own.size, i) if item is None else item
+            if key not in found or (-s, at) < (-found[key][1], found[key][2]):
+                found[key] = (item, s, at)
+    return list(found.values())
+
+
 def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): the best window of each item found in each row.
 
-    Null and empty texts match nothing, null and empty items neither.  Rows that repeat come back each;
-    an item that is repeated counts once.  Ties between windows go to the first.
+    Null and empty texts match nothing, null and empty items neither; texts of any length are searched whole.  An item
+    of fewer than five words is one shingle of all its words.  Rows that repeat come back each; an item that is
+    repeated counts once, an item_id with several texts is found by the best of them, and texts with a null item_id
+    are items of their own.  Ties between windows go to the first.  Other columns are not read.
     """
     spark, found = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for block in blocks_of(items, block_bytes):
-        held = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(_finder(held), "doc_id long, item_id long, first_word long, similarity double")
+        part = rows.mapInArrow(_finder(_sent(spark, block)), "doc_id long, item_id long, first_word long, similarity double")
         found = part if found is None else found.union(part)
     return found
 
 
 def _finder(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexed = index(held.value)
+        indexed = _indexed(held)
         for batch in slices(batches, 1, 16 << 20):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                words = text.lower().split()
-                out += [(doc_id, own.ids[i], at, s) for own in indexed for i, s, at in own.match(words)]
+                out += [(doc_id, item, at, s) for item, s, at in _best(indexed, text.lower().split())]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["doc_id", "item_id", "first_word", "similarity"])
 
@@ -160,16 +190,18 @@ def _finder(held):
 
 
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold an item; all columns pass through."""
+    """``docs`` without the rows in which ``contaminated`` finds an item; all columns pass through, whatever their names.
+
+    Null and empty texts hold nothing and stay, as do rows with a null doc_id and repeated rows, each judged by its text."""
     at, arrow = docs.columns.index("text"), arrow_schema(docs.schema)
     for block in blocks_of(items, block_bytes):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(block), at, arrow), docs.schema)
+        docs = docs.mapInArrow(_cleaner(_sent(docs.sparkSession, block), at, arrow), docs.schema)
     return docs
 
 
 def _cleaner(held, at: int, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexed = index(held.value)
+        indexed = _indexed(held)
         for batch in slices(batches, at, 16 << 20):
             keep = [not any(own.match(words) for own in indexed) for words in (t.lower().split() for t in text_bytes(batch.column(at)))]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, schema=arrow)

@@ -92,25 +92,27 @@ FROM texts t LEFT JOIN sums s ON t.doc_id = s.doc_id
 WITH doc_words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 item_words AS (
-  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+  SELECT row_number() OVER () AS item, item_id, w, least(5, len(w)) AS k FROM (
+    SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL)),
+sizes AS (SELECT DISTINCT k FROM item_words WHERE k > 0),
 doc_shingles AS (
-  SELECT doc_id, len(w) - 4 AS n, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS s
-  FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 5)) AS pos FROM doc_words WHERE len(w) >= 5)),
+  SELECT doc_id, k, len(w) - k + 1 AS n, pos, array_to_string(list_slice(w, pos + 1, pos + k), ' ') AS s
+  FROM (SELECT doc_id, k, w, unnest(generate_series(0, len(w) - k)) AS pos FROM doc_words CROSS JOIN sizes WHERE len(w) >= k)),
 item_positions AS (
-  SELECT item_id, len(w) - 4 AS m, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS s
-  FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 5)) AS pos FROM item_words WHERE len(w) >= 5)),
-item_shingles AS (SELECT item_id, m, s, count(*) AS c FROM item_positions GROUP BY ALL),
-hits AS (SELECT DISTINCT d.doc_id, i.item_id, i.m, least(i.m, d.n) AS size, d.n, d.pos FROM doc_shingles d JOIN item_shingles i ON d.s = i.s),
+  SELECT item, item_id, k, len(w) - k + 1 AS m, array_to_string(list_slice(w, pos + 1, pos + k), ' ') AS s
+  FROM (SELECT item, item_id, k, w, unnest(generate_series(0, len(w) - k)) AS pos FROM item_words WHERE k > 0)),
+item_shingles AS (SELECT item, item_id, k, m, s, count(*) AS c FROM item_positions GROUP BY ALL),
+hits AS (SELECT DISTINCT d.doc_id, i.item, i.k, i.m, least(i.m, d.n) AS size, d.n, d.pos FROM doc_shingles d JOIN item_shingles i ON d.s = i.s AND d.k = i.k),
 starts AS (
-  SELECT DISTINCT doc_id, item_id, m, size, start FROM (
+  SELECT DISTINCT doc_id, item, k, m, size, start FROM (
     SELECT *, unnest(generate_series(greatest(0, pos - size + 1), least(pos, n - size))) AS start FROM hits)),
 counted AS (
-  SELECT x.doc_id, x.item_id, x.m, x.size, x.start, d.s, count(*) AS c
-  FROM starts x JOIN doc_shingles d ON d.doc_id = x.doc_id AND d.pos >= x.start AND d.pos < x.start + x.size
+  SELECT x.doc_id, x.item, x.m, x.size, x.start, d.s, count(*) AS c
+  FROM starts x JOIN doc_shingles d ON d.doc_id = x.doc_id AND d.k = x.k AND d.pos >= x.start AND d.pos < x.start + x.size
   GROUP BY ALL),
 shared AS (
-  SELECT k.doc_id, k.item_id, k.m, k.size, k.start, sum(least(k.c, i.c)) AS met
-  FROM counted k JOIN item_shingles i ON k.item_id = i.item_id AND k.m = i.m AND k.s = i.s GROUP BY ALL),
+  SELECT x.doc_id, i.item_id, x.m, x.size, x.start, sum(least(x.c, i.c)) AS met
+  FROM counted x JOIN item_shingles i ON x.item = i.item AND x.s = i.s GROUP BY x.doc_id, x.item, i.item_id, x.m, x.size, x.start),
 scored AS (SELECT doc_id, item_id, start, (met / (m + size - met))::DOUBLE AS similarity FROM shared),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8)
 SELECT doc_id, item_id, start::BIGINT AS first_word, similarity FROM best WHERE r = 1
