@@ -188,7 +188,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadca
     ``min_chars`` code points in at least ``min_docs`` distinct documents stay only in the largest doc_id.
     Null text counts as one empty line and comes back empty.  Rows with a null doc_id together count as
     one document and never keep a repeated line; rows that repeat a doc_id are one document and all keep
-    their lines if that id is the keeper.  Other columns pass through, whatever their names.
+    their lines if that id is the keeper.  Texts of any length are read whole.  Other columns pass through,
+    whatever their names.  An empty table comes back empty.
     """
     spark = docs.sparkSession
     repeated = repeated_lines(docs, min_chars, min_docs)
@@ -233,25 +234,29 @@ def _prober(held, shards: int, text_at: int, id_at: int, arrow: pa.Schema, min_c
 
 
 def _routed(docs: DataFrame, index: DataFrame, repeated: DataFrame, shards: int, min_chars: int, out: T.StructType) -> DataFrame:
-    """The way beyond the broadcast bound: hashes probe in (shard, salt) groups, verdicts go back by doc_id."""
+    """The way beyond the broadcast bound: hashes probe in (shard, salt) groups, verdicts go back by doc_id; rows without
+    one get theirs by the hash of their text, so that they form no common group."""
     arrow, text_at = arrow_schema(out), docs.columns.index("text")
-    seen = cut(line_hashes(docs, min_chars).distinct().withColumn("shard", F.pmod("h1", F.lit(shards))))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    null = F.col("doc_id").isNull()
+    both = [line_hashes(some, min_chars).withColumn("no_id", F.lit(x)) for x, some in ((False, named.filter(~null)), (True, named.filter(null).select(F.xxhash64("text").alias("doc_id"), "text")))]
+    seen = cut(both[0].union(both[1]).distinct().withColumn("shard", F.pmod("h1", F.lit(shards))))
     salts = cut(seen.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")))
-    probes = seen.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("h1", "h2", "doc_id"), F.col("salts"))).drop("salts")
+    probes = seen.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("h1", "h2", "doc_id", "no_id"), F.col("salts"))).drop("salts")
     copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
 
     def probe(occurrences: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(occurrences) or not len(shard):
-            return pd.DataFrame({"h1": [], "h2": [], "doc_id": []}).astype("int64")
+            return pd.DataFrame({"h1": [], "h2": [], "doc_id": [], "no_id": []}).astype({"h1": "int64", "h2": "int64", "doc_id": "int64", "no_id": "bool"})
         r = shard.iloc[0]
-        ids = occurrences.doc_id
-        gone = Shard(r.mph, r.fingerprints, r.counts, r.keepers).drops(occurrences.h1.to_numpy(np.int64), occurrences.h2.to_numpy(np.int64), ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy())
-        return occurrences.loc[gone, ["h1", "h2", "doc_id"]]
+        gone = Shard(r.mph, r.fingerprints, r.counts, r.keepers).drops(occurrences.h1.to_numpy(np.int64), occurrences.h2.to_numpy(np.int64), occurrences.doc_id.to_numpy(np.int64), occurrences.no_id.to_numpy(bool))
+        return occurrences.loc[gone, ["h1", "h2", "doc_id", "no_id"]]
 
-    hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "h1 long, h2 long, doc_id long")
-    hits = hits.groupBy(F.col("doc_id").alias("__ll_id")).agg(F.collect_list("h1").alias("__ll_h1"), F.collect_list("h2").alias("__ll_h2"))
+    hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "h1 long, h2 long, doc_id long, no_id boolean")
+    hits = hits.groupBy(F.col("doc_id").alias("__ll_id"), F.col("no_id").alias("__ll_none")).agg(F.collect_list("h1").alias("__ll_h1"), F.collect_list("h2").alias("__ll_h2"))
     n = len(docs.columns)
-    joined = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("__ll_id")), "left").drop("__ll_id")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    joined = docs.join(hits, (own == F.col("__ll_id")) & (null == F.col("__ll_none")), "left").drop("__ll_id", "__ll_none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_at, 16 << 20):
