@@ -5,7 +5,7 @@ A suffix array of all documents in one task is out of the question, so equal str
 together:
 
 1. Texts are put in packs of a few MB, compressed, in the shared checkpoint folder.  A document whose whole
-   text a smaller id holds is settled at once.
+   text a smaller id holds is settled at once; texts with equal 128-bit hashes are taken for equal here.
 2. Every window is owned by its leftmost least 24-byte gram (by a 40-bit hash), so equal windows have equal
    owners.  Each pack sends its distinct owners to buckets once, however often it has them; an owner that
    two documents have is a candidate, and the pack gets that back as one bit for each owner.
@@ -85,17 +85,17 @@ def owners(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Pack:
-    """Documents whose texts are kept together: ids (and which are null), and texts."""
+    """Documents whose texts are kept together: ids, which of them are null, and texts."""
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
+        self.ids = np.frombuffer(ids, np.int64, len(ids) // 9)
+        self.null = np.frombuffer(ids, bool, len(ids) // 9, 8 * (len(ids) // 9))
         size = np.frombuffer(sizes, np.int64)
         whole = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, int(size.sum())))
         ends = np.cumsum(size).tolist()
         self.texts = [whole[e - s : e] for s, e in zip(size.tolist(), ends, strict=True)]
 
 
-NULL_ID = -(1 << 63)
 PACK_SCHEMA = "pack long, ids binary, sizes binary, data binary"
 
 
@@ -108,12 +108,13 @@ def packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             size = np.array([len(x) for x in texts], np.int64)
-            row = [[number], [np.array(ids, np.int64).tobytes()], [size.tobytes()], [press.compress(b"".join(texts))]]
+            named = np.array([i or 0 for i in ids], np.int64).tobytes() + bytes([i is None for i in ids])
+            row = [[number], [named], [size.tobytes()], [press.compress(b"".join(texts))]]
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *[pa.array(x, pa.binary()) for x in row[1:]]], ["pack", "ids", "sizes", "data"])
 
         for batch in slices(batches, 1, pack_bytes):
             for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                ids.append(NULL_ID if i is None else i)
+                ids.append(i)
                 texts.append(text)
                 held += len(text)
                 if held >= pack_bytes:
@@ -138,7 +139,7 @@ def copies(packed: DataFrame) -> DataFrame:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, sizes, data in _each(batches):
             pack = Pack(ids, sizes, data)
-            at = [i for i, t in enumerate(pack.texts) if len(t) >= WINDOW and pack.ids[i] != NULL_ID]
+            at = [i for i, t in enumerate(pack.texts) if len(t) >= WINDOW and not pack.null[i]]
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(pack.texts[i]) for i in at), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(pack.ids[at]), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["pack", "at", "doc_id", "h1", "h2"])
 
@@ -149,7 +150,7 @@ def copies(packed: DataFrame) -> DataFrame:
 
 def _settled(pack: Pack, copied: list | None) -> list[bool]:
     """Which documents of a pack take no part in the search: copies, and those without an id."""
-    out = (pack.ids == NULL_ID).tolist()
+    out = pack.null.tolist()
     for i in copied or ():
         out[i] = True
     return out
@@ -181,8 +182,13 @@ class _Owners:
         return np.minimum.reduceat(doc, self.starts) < np.maximum.reduceat(doc, self.starts)
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(hashes + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the hashes by bucket, in which a bucket's keep theirs, and (bucket, first, after the last) in it."""
+    bucket = (_mix(hashes + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    ranked = bucket[order]
+    first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0] if len(ranked) else np.zeros(0, np.int64)
+    return order, list(zip(ranked[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ranked)], strict=False))
 
 
 def _send_owners(buckets: int):
@@ -194,10 +200,10 @@ def _send_owners(buckets: int):
             pack = Pack(ids, sizes, data)
             own = _Owners(pack, _settled(pack, copied))
             distinct, several = own.distinct, own.several()
-            bucket = _bucket(distinct, buckets)
             rows = [(-1, np.array(copied or [], np.int64).tobytes(), b"")]
-            for b in np.unique(bucket).tolist():
-                mine = bucket == b
+            order, dealt = _dealt(distinct, buckets)
+            for b, first, last in dealt:
+                mine = order[first:last]
                 h = distinct[mine]
                 rows.append((b, (h >> np.uint64(8)).astype(np.uint32).tobytes() + (h & np.uint64(255)).astype(np.uint8).tobytes(), np.packbits(several[mine]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "pack", "hashes", "several"])
@@ -234,11 +240,12 @@ _HEADS = [[bytes([side, shift]) for shift in range(SIDE + 1)] for side in (0, 1)
 def _parts(own: _Owners, replies, buckets: int):
     """The candidate parts of a pack: {side, shift and bytes: entry}, and for each the windows (place in ``own.docs``,
     first window) that it stands for."""
-    bucket = _bucket(own.distinct, buckets)
+    order, dealt = _dealt(own.distinct, buckets)
+    places = {b: order[first:last] for b, first, last in dealt}
     shared = np.zeros(len(own.distinct), bool)
     for r in replies:
         if r["bucket"] >= 0:
-            mine = np.nonzero(bucket == r["bucket"])[0]
+            mine = places[r["bucket"]]
             shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
     hits = np.split(shared[own.which], np.cumsum(own.sizes)[:-1]) if len(own.docs) else []
     windows: dict[bytes, list[tuple[int, int]]] = {}
@@ -436,7 +443,7 @@ def _remove(owner_buckets: int, part_buckets: int):
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text)
                 starts.append([s[0] for s in spans])
                 ends.append([s[1] for s in spans])
-            doc_id = pa.array([None if x == NULL_ID else x for x in all_ids], pa.int64())
+            doc_id = pa.array(pack.ids, pa.int64(), mask=pack.null)
             longs = pa.list_(pa.int64())
             digest = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(t) for t in pack.texts], pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "starts", "ends", "kept", "kept_sha256"])
