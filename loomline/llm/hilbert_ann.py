@@ -5,7 +5,7 @@ curve; several curves with projections and shifts of their own see different nei
 and sorts every curve's keys; a row's rank is its partition's offset plus its place.  A query's candidates are the
 vectors within ``window`` ranks of its own on each curve.  Ranks are cut into blocks, and queries into spans of
 ranks; a group is a block and a span, so its size doesn't depend on the table's.  A group finds its queries' nearest
-candidates by half-precision codes; the best of all groups are merged and reranked by exact distance.
+candidates by codes of a byte a component; the best of all groups are merged and reranked by exact distance.
 Every distinct vector is indexed on every curve.
 
 How many curves and how wide a window are needed depends on the data.  Both are fitted on a bounded sample: for each
@@ -82,11 +82,12 @@ class Curves:
         spread = [np.percentile(sample @ p, [0.5, 99.5]) for p in directions]
         low, high = np.array([s[0] for s in spread]), np.array([s[1] for s in spread])
         middle = sample.mean(0)
-        scale = max(float(np.abs(sample - middle).max()), 1e-300)
+        scale = max(float(np.quantile(np.abs(sample - middle), 0.999)), 1e-300)
         return cls(directions, low, np.maximum(high - low, 1e-300), rng.random((curves, m)) * 0.25, middle, scale)
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        return np.clip((vectors - self.middle) / self.scale, -30_000, 30_000).astype(np.float16)
+        """A byte a component; the few that lie further out than nearly all of the sample's are cut."""
+        return np.clip(np.rint((vectors - self.middle) / self.scale * 120), -127, 127).astype(np.int8)
 
     def keys(self, curve: int, vectors: np.ndarray) -> np.ndarray:
         y = (vectors @ self.directions[curve] - self.low[curve]) / self.width[curve] * 0.75 + self.shift[curve]
@@ -180,22 +181,33 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1) if blobs else np.zeros((0, 1))
 
 
+def coded(distinct: DataFrame, curves: Curves) -> DataFrame:
+    """(did, code, q): each vector in a byte a component."""
+    held = distinct.sparkSession.sparkContext.broadcast(curves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = pa.array([row.tobytes() for row in held.value.codes(_matrix(batch.column(1).to_pylist()))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), codes, batch.column(2)], ["did", "code", "q"])
+
+    return distinct.select("did", "vec", "q").mapInArrow(run, "did long, code binary, q boolean")
+
+
 def ranks(distinct: DataFrame, curves: Curves, used: int) -> DataFrame:
-    """(curve, rank, did, code, q) of every distinct vector on the first ``used`` curves; codes are half-precision vectors."""
+    """(curve, rank, did) of every distinct vector on the first ``used`` curves."""
     spark = distinct.sparkSession
     held = spark.sparkContext.broadcast(curves)
-    names = ["curve", "key", "did", "code", "q"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Curves = held.value
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1).to_pylist())
-                codes = pa.array([row.tobytes() for row in own.codes(x)], pa.binary())
                 for c in range(used):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(own.keys(c, x)), batch.column(0), codes, batch.column(2)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(own.keys(c, x)), batch.column(0)], ["curve", "key", "did"])
 
-    keyed = distinct.select("did", "vec", "q").mapInArrow(keys, "curve int, key long, did long, code binary, q boolean")
+    keyed = distinct.select("did", "vec").mapInArrow(keys, "curve int, key long, did long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = cut(keyed.repartitionByRange(parts, "curve", "key", "did").sortWithinPartitions("curve", "key", "did").withColumn("p", F.spark_partition_id()))
     sizes = sorted(tuple(r) for r in ordered.groupBy("p", "curve").count().collect())
@@ -209,16 +221,16 @@ def ranks(distinct: DataFrame, curves: Curves, used: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curve, p = batch.column(0).to_numpy(), batch.column(5)[0].as_py()
+            curve, p = batch.column(0).to_numpy(), batch.column(3)[0].as_py()
             rank = np.empty(len(curve), np.int64)
             for c in np.unique(curve).tolist():
                 own = np.nonzero(curve == c)[0]
                 first = at.setdefault(c, offsets[p, c])
                 rank[own] = first + np.arange(len(own))
                 at[c] = first + len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank), *batch.columns[2:5]], ["curve", "rank", "did", "code", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank), batch.column(2)], ["curve", "rank", "did"])
 
-    return ordered.mapInArrow(number, "curve int, rank long, did long, code binary, q boolean")
+    return ordered.mapInArrow(number, "curve int, rank long, did long")
 
 
 def plan(distinct: DataFrame, total: int, k: int) -> tuple[Curves, int, int]:
@@ -273,7 +285,7 @@ def nearest_codes(placed: DataFrame, total: int, window: int, k: int, block: int
 
 def _codes(column) -> np.ndarray:
     blobs = list(column)
-    return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32)
+    return np.frombuffer(b"".join(blobs), np.int8).reshape(len(blobs), -1).astype(np.float32)
 
 
 def _of_one_length(rows: DataFrame, k: int) -> DataFrame:
@@ -281,7 +293,8 @@ def _of_one_length(rows: DataFrame, k: int) -> DataFrame:
     distinct = cut(distinct_vectors(rows, k + 1))
     total = distinct.count()
     fitted, used, window = plan(distinct, total, k)
-    pairs = nearest_codes(ranks(distinct, fitted, used), total, window, k)
+    placed = ranks(distinct, fitted, used).join(coded(distinct, fitted), "did").select("curve", "rank", "did", "code", "q")
+    pairs = nearest_codes(placed, total, window, k)
     asker = distinct.filter("q").select(F.col("did").alias("asker"), F.col("vec").alias("own"))
     both = pairs.join(distinct.select("did", "vec", "ids"), "did").join(asker, "asker").select("asker", "ids", "own", "vec")
 
