@@ -18,6 +18,8 @@ from loomline.operators.numbering import positions
 CHUNK = 4096
 CDC_MIN, CDC_MAX, CDC_MASK = 2048, 8192, 4095
 SIMILARITY, CANDIDATES = 0.8, 64
+#: Chunks of a range in which the sequential rule runs; ranges run in parallel.
+RANGE = 65_536
 #: What seeds the table of byte values; archives cut elsewhere agree only if their seed is given.
 GEAR_SEED = b"loomline-gear-"
 
@@ -126,19 +128,26 @@ def equal_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int(np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) if len(x) == len(y) else 0 for x, y in zip(a, b, strict=True)])
 
 
-def best_bases(dictionary: DataFrame, window: int = CANDIDATES) -> DataFrame:
-    """(chunk_id, base_id, matches): of the ``window`` chunks before each, the one of its length with the most equal
-    bytes, if more than ``SIMILARITY`` of them are; ties to the latest.
+def similar_pairs(dictionary: DataFrame, window: int = CANDIDATES) -> DataFrame:
+    """(a, b, length, matches): each chunk with those of its length among the ``window`` before it, and their equal bytes.
 
-    Every earlier chunk may be a base (a sequential pass would leave out those that became deltas themselves; see
-    ``sequential_deltas``).  The join is on blocks of ids and on length, so it stays an equi-join.
+    The join is on blocks of ids and on length, so it stays an equi-join.
     """
     block = F.floor(F.col("chunk_id") / window)
     left = dictionary.select(F.col("chunk_id").alias("a"), F.col("data").alias("x"), "length", F.explode(F.array(block, block - 1)).alias("block"))
     right = dictionary.select(F.col("chunk_id").alias("b"), F.col("data").alias("y"), F.col("length").alias("length2"), block.alias("block2"))
     near = left.join(right, (F.col("block") == F.col("block2")) & (F.col("length") == F.col("length2")) & (F.col("b") < F.col("a")) & (F.col("b") >= F.col("a") - window))
-    scored = near.select("a", "b", "length", equal_bytes("x", "y").alias("matches"))
-    good = scored.filter(F.col("matches") > F.floor(F.col("length") * SIMILARITY))
+    return near.select("a", "b", "length", equal_bytes("x", "y").alias("matches"))
+
+
+def best_bases(dictionary: DataFrame, window: int = CANDIDATES) -> DataFrame:
+    """(chunk_id, base_id, matches): of the ``window`` chunks before each, the one of its length with the most equal
+    bytes, if more than ``SIMILARITY`` of them are; ties to the latest.
+
+    An approximation that runs in parallel: every chunk of the window may be a base, also one that is a delta itself,
+    and none before the window (see ``sequential_deltas`` for the rule).
+    """
+    good = similar_pairs(dictionary, window).filter(F.col("matches") > F.floor(F.col("length") * SIMILARITY))
     best = good.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best"))
     return best.select(F.col("a").alias("chunk_id"), F.col("best.b").alias("base_id"), F.col("best.matches").alias("matches"))
 
@@ -193,15 +202,13 @@ def resolve_deltas(dictionary: DataFrame, deltas: DataFrame) -> DataFrame:
     return joined.select("chunk_id", patched(base, "target_len", "diffs").alias("data"))
 
 
-def sequential_deltas(dictionary: DataFrame, groups: int = 1) -> DataFrame:
+def sequential_deltas(dictionary: DataFrame, width: int = RANGE) -> DataFrame:
     """(chunk_id, base_id, target_len, diffs) by the sequential rule: only chunks kept whole can be bases, and the
     last ``CANDIDATES`` of those are looked at.
 
-    The rule makes each choice depend on those before it, so ids are dealt to ``groups`` ranges that run in
-    parallel, each with its own bases; with one group the result is that of a single pass.
+    The rule makes each choice depend on those before it, so ids are dealt to ranges of ``width`` that run in
+    parallel, each with its own bases; within a range the result is that of a single pass.
     """
-    top = dictionary.agg(F.max("chunk_id")).first()[0] or 0
-    width = max(1, -(-(top + 1) // groups))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         whole: list[tuple[int, bytes]] = []

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions.scalar import array_header, bin_size, is_canonical_int, str_size, varint_size, zigzag
 from loomline.operators.numbering import positions
+from loomline.session import cut
 
 # Rows in a block; share and step of columns that deltas suit; encodings in order of preference.
 BLOCK_ROWS = 262_144
@@ -33,6 +34,11 @@ def slots(rows: DataFrame) -> DataFrame:
     return rows.select("tpl_id", "block_id", "row_no", "file_id", "line_index", F.posexplode("values").alias("slot", "value"))
 
 
+def dealt_cells(rows: DataFrame) -> DataFrame:
+    """``slots`` kept by column and in order, so that what follows needs no further shuffle or sort."""
+    return cut(slots(rows).repartition(*KEY).sortWithinPartitions(*KEY, "row_no"))
+
+
 def row_refs(rows: DataFrame) -> DataFrame:
     """(tpl_id, block_id, row_no, file_delta, line_delta): positions as deltas, lines afresh in each file."""
     w = Window.partitionBy("tpl_id", "block_id").orderBy("row_no")
@@ -132,41 +138,46 @@ def encoding_choice(sizes: DataFrame) -> DataFrame:
 
 
 def encoded(cells: DataFrame, choice: DataFrame) -> DataFrame:
-    """(key, encoding, n, words, numbers): the chosen encoding's data, by column.
+    """(key, encoding, n, first_row, words, numbers): the chosen encoding's data, by column.
 
     words: raw values, dictionary, or run values; numbers: integers, differences, indexes, or run lengths.
     A column has a block's rows at most, so it is one bounded row.
     """
     chosen = cells.join(choice.select(*KEY, "encoding"), KEY)
-    v = F.col("value").try_cast("long")
-    d = v - F.coalesce(F.lag(v).over(_in_order()), F.lit(0))
-    fresh = F.coalesce(F.lag("value").over(_in_order()) != F.col("value"), F.lit(True))
+    e, row, value = F.col("encoding"), F.col("row_no"), F.col("value")
+    v = F.when(e.isin("varint", "delta_varint"), value.try_cast("long"))
+    fresh = F.coalesce(F.lag("value").over(_in_order()) != value, F.lit(True))
     first = F.min("row_no").over(Window.partitionBy(*KEY, "value"))
-    marked = chosen.withColumns({"v": v, "d": d, "fresh": fresh, "first": first})
-    packed = F.array_sort(F.collect_list(F.struct("row_no", "value", "v", "d", "fresh", "first")))
-    one = marked.groupBy(*KEY, "encoding").agg(packed.alias("c"))
-    words_of = F.transform(F.filter("c", lambda x: x["first"] == x["row_no"]), lambda x: x["value"])
-    starts = F.filter("c", lambda x: x["fresh"])
-    n = F.size("c")
-    lengths = F.transform(starts, lambda x, i: F.coalesce(F.try_element_at(starts, i + 2)["row_no"], F.col("c")[0]["row_no"] + n) - x["row_no"])
-    e = F.col("encoding")
-    words = F.when(e == "raw_msgpack", F.transform("c", lambda x: x["value"])).when(e == "dictionary", words_of).when(e == "rle", F.transform(starts, lambda x: x["value"]))
-    indexes = F.transform("c", lambda x: (F.array_position(words_of, x["value"]) - 1).cast("long"))
-    numbers = F.when(e == "varint", F.transform("c", lambda x: x["v"])).when(e == "delta_varint", F.transform("c", lambda x: x["d"])).when(e == "dictionary", indexes).when(e == "rle", F.transform(lengths, lambda x: x.cast("long")))
-    return one.select(*KEY, "encoding", n.cast("long").alias("n"), F.col("c")[0]["row_no"].alias("first_row"), words.alias("words"), numbers.alias("numbers"))
+    marked = chosen.withColumns({"v": v, "fresh": fresh, "first": first}).withColumn("d", F.col("v") - F.coalesce(F.lag("v").over(_in_order()), F.lit(0)))
+    index = (F.dense_rank().over(Window.partitionBy(*KEY).orderBy("first")) - 1).cast("long")
+    number = F.when(e == "varint", F.col("v")).when(e == "delta_varint", F.col("d")).when(e == "dictionary", F.col("index"))
+    word = (e == "raw_msgpack") | ((e == "dictionary") & (F.col("first") == row)) | ((e == "rle") & F.col("fresh"))
+    in_order = lambda x: F.array_sort(F.collect_list(x))
+    one = marked.withColumn("index", index).groupBy(*KEY, "encoding").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_row"),
+        in_order(F.when(word, F.struct(row.alias("row"), value.alias("x")))).alias("w"), in_order(F.when(number.isNotNull(), F.struct(row.alias("row"), number.alias("x")))).alias("i"),
+    )
+    listed = one.select(*KEY, "encoding", "n", "first_row", F.transform("w", lambda x: x["x"]).alias("words"), F.transform("w", lambda x: x["row"]).alias("starts"), F.transform("i", lambda x: x["x"]).alias("numbers"))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.col("first_row") + F.col("n")))
+    lengths = F.zip_with(ends, F.col("starts"), lambda a, b: a - b)
+    words = F.when(e.isin("raw_msgpack", "dictionary", "rle"), F.col("words"))
+    numbers = F.when(e == "rle", lengths).when(e != "raw_msgpack", F.col("numbers"))
+    return listed.select(*KEY, "encoding", "n", "first_row", words.alias("words"), numbers.alias("numbers"))
 
 
 def decoded(columns: DataFrame) -> DataFrame:
-    """(key, row_no, value) of ``encoded``; a run total that differs from the rows is an error."""
+    """(key, row_no, value) of ``encoded``; a column whose data aren't as many as its rows is an error."""
     e, words, numbers = F.col("encoding"), F.col("words"), F.col("numbers")
-    sums = F.aggregate(numbers, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array((acc["at"] + x).cast("string"))).alias("out")))["out"]
     repeated = F.flatten(F.zip_with(words, numbers, lambda w, n: F.array_repeat(w, n.cast("int"))))
     values = (
-        F.when(e == "raw_msgpack", words).when(e == "varint", F.transform(numbers, lambda x: x.cast("string"))).when(e == "delta_varint", sums)
+        F.when(e == "raw_msgpack", words).when(e.isin("varint", "delta_varint"), F.transform(numbers, lambda x: x.cast("string")))
         .when(e == "dictionary", F.transform(numbers, lambda i: F.element_at(words, i.cast("int") + 1))).when(e == "rle", repeated)
     )
     checked = F.when(F.size(values) == F.col("n"), values).otherwise(F.raise_error(F.lit("column length differs from its rows")))
-    return columns.select(*KEY, "first_row", F.posexplode(checked).alias("at", "value")).select(*KEY, (F.col("first_row") + F.col("at")).alias("row_no"), "value")
+    each = columns.select(*KEY, "encoding", "first_row", F.posexplode(checked).alias("at", "value")).select(*KEY, "encoding", (F.col("first_row") + F.col("at")).alias("row_no"), "value")
+    total = F.sum(F.col("value").try_cast("long")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0))
+    steps = each.filter("encoding = 'delta_varint'").select(*KEY, "row_no", total.cast("string").alias("value"))
+    return each.filter("encoding <> 'delta_varint'").select(*KEY, "row_no", "value").union(steps)
 
 
 def row_mode_size(found: DataFrame) -> DataFrame:
@@ -175,3 +186,16 @@ def row_mode_size(found: DataFrame) -> DataFrame:
     id_bytes = F.when(F.col("tpl_id") < 128, 1).when(F.col("tpl_id") < 256, 2).when(F.col("tpl_id") < 65536, 3).otherwise(5)
     size = F.when(F.col("tpl_id").isNotNull(), 1 + id_bytes + array_header(F.size("values")) + value_bytes).otherwise(2 + str_size(F.octet_length("line")))
     return found.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size"))
+
+
+def mode_sizes(found: DataFrame, refs: DataFrame, choice: DataFrame) -> DataFrame:
+    """(row_size, columnar_size, mode) of records, the ``row_refs`` of their template rows, and their columns' encodings.
+
+    Columns take their encodings' bytes, two varints a row for its place, and the packed raw lines.
+    """
+    ref = refs.agg(F.coalesce(F.sum(varint_size(F.col("file_delta")) + varint_size(F.col("line_delta"))), F.lit(0)).alias("r"))
+    raw = found.filter("tpl_id is null").agg(F.coalesce(F.sum(str_size(F.octet_length("line"))), F.lit(0)).alias("l"))
+    data = choice.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("c"))
+    both = row_mode_size(found).withColumnRenamed("size", "row_size").join(data).join(ref).join(raw)
+    both = both.select("row_size", (F.col("c") + F.col("r") + F.col("l")).cast("long").alias("columnar_size"))
+    return both.withColumn("mode", F.when(F.col("columnar_size") < F.col("row_size"), "columnar").otherwise("row"))

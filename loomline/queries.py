@@ -64,7 +64,8 @@ def _dictionary(spark: SparkSession, d: str, corpus: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str, corpus: str) -> DataFrame:
-    return templates.records(_tokens(spark, d, corpus), _dictionary(spark, d, corpus))
+    tokens = cut(_tokens(spark, d, corpus))
+    return templates.records(tokens, templates.template_dictionary(templates.template_counts(tokens)))
 
 
 def _joined(c: str):
@@ -143,8 +144,10 @@ def q_reuse_rate(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_metrics(spark: SparkSession, d: str) -> DataFrame:
     def one(c):
-        rates = templates.fallback_reason(templates.file_rates(_records(spark, d, c)))
-        found = metrics.archive_metrics(rates, templates.template_counts(_tokens(spark, d, c)))
+        tokens = cut(_tokens(spark, d, c))
+        counts = cut(templates.template_counts(tokens))
+        rates = templates.fallback_reason(templates.file_rates(templates.records(tokens, templates.template_dictionary(counts))))
+        found = metrics.archive_metrics(rates, counts)
         return found.withColumns({n: F.round(n, 6) for n in ("template_reuse_rate", "avg_vars_per_tpl_line")})
 
     return _per_corpus(one)
@@ -153,8 +156,9 @@ def q_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("q_rebuild", f"WITH {_ALL_LINES} SELECT corpus, file_id, line_index::BIGINT AS line_index, line FROM lines")
 def q_rebuild(spark: SparkSession, d: str) -> DataFrame:
     def one(c):
-        dictionary = _dictionary(spark, d, c)
-        return templates.restored(templates.records(_tokens(spark, d, c), dictionary), dictionary).withColumn("line_index", F.col("line_index").cast("long"))
+        tokens = cut(_tokens(spark, d, c))
+        dictionary = templates.template_dictionary(templates.template_counts(tokens))
+        return templates.restored(templates.records(tokens, dictionary), dictionary).withColumn("line_index", F.col("line_index").cast("long"))
 
     return _per_corpus(one)
 
@@ -183,7 +187,7 @@ _INTS = f"{_SLOTS}, marked AS (SELECT *, {_INT} AS v FROM cells), ints AS (SELEC
 
 
 def _cells(spark: SparkSession, d: str, corpus: str) -> DataFrame:
-    return columns.slots(columns.numbered_rows(_records(spark, d, corpus)))
+    return columns.dealt_cells(columns.numbered_rows(_records(spark, d, corpus)))
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -236,7 +240,10 @@ def q_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return _per_corpus(lambda c: _longs(columns.dictionaries(_cells(spark, d, c)), "slot"))
 
 
-@query("q_row_refs", f"WITH {_ROWS} SELECT corpus, tpl_id, row_no // 262144 AS block_id, row_no, file_id - coalesce(lag(file_id) {_W.replace(', slot', '').replace('block_id', 'row_no // 262144')}, 0) AS file_delta, CASE WHEN lag(file_id) {_W.replace(', slot', '').replace('block_id', 'row_no // 262144')} = file_id THEN line_index - lag(line_index) {_W.replace(', slot', '').replace('block_id', 'row_no // 262144')} ELSE line_index END AS line_delta FROM rows_")
+_BW = _W.replace(", slot", "").replace("block_id", "row_no // 262144")
+
+
+@query("q_row_refs", f"WITH {_ROWS} SELECT corpus, tpl_id, row_no // 262144 AS block_id, row_no, file_id - coalesce(lag(file_id) {_BW}, 0) AS file_delta, CASE WHEN lag(file_id) {_BW} = file_id THEN line_index - lag(line_index) {_BW} ELSE line_index END AS line_delta FROM rows_")
 def q_row_refs(spark: SparkSession, d: str) -> DataFrame:
     return _per_corpus(lambda c: _longs(columns.row_refs(columns.numbered_rows(_records(spark, d, c))), "line_delta"))
 
@@ -306,15 +313,16 @@ def q_encoding_counts(spark: SparkSession, d: str) -> DataFrame:
 _ROW_SIZE = f"""row_sizes AS (SELECT corpus, sum(CASE WHEN tpl_id IS NOT NULL THEN 1 + CASE WHEN tpl_id < 128 THEN 1 WHEN tpl_id < 256 THEN 2 WHEN tpl_id < 65536 THEN 3 ELSE 5 END + {_sql_head('len(vals)')} + coalesce(list_sum(list_transform(vals, lambda x: {_sql_str('x')})), 0) ELSE 2 + {_sql_str('line')} END)::BIGINT AS row_size FROM records GROUP BY corpus)"""
 
 
-@query("q_mode_choice", f"WITH {_SIZES}, {_ROW_SIZE}, cs AS (SELECT corpus, sum(size)::BIGINT AS column_size FROM choice GROUP BY corpus), rs AS (SELECT corpus, coalesce(sum({_sql_str('line')}) FILTER (WHERE tpl_id IS NULL), 0)::BIGINT AS raw_size FROM records GROUP BY corpus) SELECT corpus, row_size, coalesce(column_size, 0) + raw_size AS columnar_size, CASE WHEN coalesce(column_size, 0) + raw_size < row_size THEN 'columnar' ELSE 'row' END AS mode FROM row_sizes LEFT JOIN cs USING (corpus) LEFT JOIN rs USING (corpus)")
+_REF_SIZE = f"""refs AS (SELECT corpus, file_id - coalesce(lag(file_id) {_BW}, 0) AS fd, CASE WHEN lag(file_id) {_BW} = file_id THEN line_index - lag(line_index) {_BW} ELSE line_index END AS ld FROM rows_),
+ref_sizes AS (SELECT corpus, sum({_sql_varint('fd')} + {_sql_varint('ld')})::BIGINT AS ref_size FROM refs GROUP BY corpus)"""
+
+
+@query("q_mode_choice", f"WITH {_SIZES}, {_ROW_SIZE}, {_REF_SIZE}, cs AS (SELECT corpus, sum(size)::BIGINT AS column_size FROM choice GROUP BY corpus), rs AS (SELECT corpus, coalesce(sum({_sql_str('line')}) FILTER (WHERE tpl_id IS NULL), 0)::BIGINT AS raw_size FROM records GROUP BY corpus), both_ AS (SELECT corpus, row_size, coalesce(column_size, 0) + raw_size + coalesce(ref_size, 0) AS columnar_size FROM row_sizes LEFT JOIN cs USING (corpus) LEFT JOIN rs USING (corpus) LEFT JOIN ref_sizes USING (corpus)) SELECT *, CASE WHEN columnar_size < row_size THEN 'columnar' ELSE 'row' END AS mode FROM both_")
 def q_mode_choice(spark: SparkSession, d: str) -> DataFrame:
     def one(c):
-        found = _records(spark, d, c)
-        row = columns.row_mode_size(found).withColumnRenamed("size", "row_size")
-        column = columns.encoding_choice(columns.column_sizes(_cells(spark, d, c))).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("c"))
-        raw = found.filter("tpl_id is null").agg(F.coalesce(F.sum(scalar.str_size(F.octet_length("line"))), F.lit(0)).alias("r"))
-        both = row.join(column).join(raw).withColumn("columnar_size", F.col("c") + F.col("r"))
-        return both.select("row_size", "columnar_size", F.when(F.col("columnar_size") < F.col("row_size"), "columnar").otherwise("row").alias("mode"))
+        found = cut(_records(spark, d, c))
+        rows = columns.numbered_rows(found)
+        return columns.mode_sizes(found, columns.row_refs(rows), columns.encoding_choice(columns.column_sizes(columns.dealt_cells(rows))))
 
     return _per_corpus(one)
 
@@ -322,7 +330,7 @@ def q_mode_choice(spark: SparkSession, d: str) -> DataFrame:
 @query("q_columnar_roundtrip", f"WITH {_SLOTS} SELECT {_K}, row_no, value FROM cells")
 def q_columnar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     def one(c):
-        cells = cut(_cells(spark, d, c))
+        cells = _cells(spark, d, c)
         return _longs(columns.decoded(columns.encoded(cells, columns.encoding_choice(columns.column_sizes(cells)))), "slot")
 
     return _per_corpus(one)
@@ -330,18 +338,32 @@ def q_columnar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- chunks ----------------------------------------------------------------------------------------------------
 
-_CHUNKS = """pieces AS (SELECT doc_id AS file_id, unnest(generate_series(0, (octet_length(encode(text)) + {k} - 1) // {k} - 1)) AS seq, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+_CHUNKS = """pieces AS (SELECT file_id, unnest(generate_series(0, (octet_length(encode(text)) + {k} - 1) // {k} - 1)) AS seq, hex(encode(text)) AS h FROM files WHERE text <> ''),
 chunk AS (SELECT file_id, seq, substr(h, (seq * {k} * 2 + 1)::BIGINT, {k} * 2) AS data FROM pieces),
 dict AS (SELECT data, count(*) AS n, row_number() OVER (ORDER BY min(struct_pack(f := file_id, s := seq))) - 1 AS chunk_id FROM chunk GROUP BY data),
 sequence_ AS (SELECT file_id, seq, chunk_id FROM chunk JOIN dict USING (data))""".replace("{k}", str(chunks.CHUNK))
+_PROPS = f"files AS (SELECT event_id AS file_id, coalesce(props, '') AS text FROM events), {_CHUNKS}"
+_CHUNKS = f"files AS (SELECT doc_id AS file_id, text FROM documents), {_CHUNKS}"
+_EQUAL = "list_sum(list_transform(generate_series(0, length(a.data) // 2 - 1), lambda i: (substr(a.data, 2 * i + 1, 2) = substr(b.data, 2 * i + 1, 2))::INT))::BIGINT"
+_PAIRS = f"{_PROPS}, pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, length(a.data) // 2 AS length, {_EQUAL} AS matches FROM dict a JOIN dict b ON length(a.data) = length(b.data) AND b.chunk_id < a.chunk_id AND b.chunk_id >= a.chunk_id - {chunks.CANDIDATES})"
+_BASES = f"{_PAIRS}, bases AS (SELECT a AS chunk_id, max(struct_pack(m := matches, b := b)) AS best FROM pairs WHERE matches > floor(length * {chunks.SIMILARITY}) GROUP BY a)"
+_DIFFS = f"""{_BASES}, places AS (SELECT x.chunk_id, best.b AS base_id, t.data AS t, d.data AS d, unnest(generate_series(0, length(t.data) // 2 - 1)) AS off FROM bases x JOIN dict t ON t.chunk_id = x.chunk_id JOIN dict d ON d.chunk_id = best.b),
+diffs AS (SELECT chunk_id, base_id, length(t) // 2 AS target_len, off, substr(t, (2 * off + 1)::BIGINT, 2) AS byte FROM places WHERE substr(t, (2 * off + 1)::BIGINT, 2) <> substr(d, (2 * off + 1)::BIGINT, 2)),
+sized AS (SELECT chunk_id, base_id, target_len, count(*) AS n_diffs, sum(1 + CASE WHEN off < 128 THEN 1 WHEN off < 256 THEN 2 ELSE 3 END + CASE WHEN byte < '80' THEN 1 ELSE 2 END) + CASE WHEN count(*) <= 15 THEN 1 ELSE 3 END AS size FROM diffs GROUP BY ALL),
+kept AS (SELECT chunk_id, base_id, target_len, n_diffs FROM sized WHERE size < target_len)"""
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return rows_as_files(spark, d, "documents").select("file_id", F.col("text").cast("binary").alias("content"))
 
 
-def _chunk_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pieces = chunks.fixed_chunks(_files(spark, d))
+def _props(spark: SparkSession, d: str) -> DataFrame:
+    """Events as small files of much alike content."""
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("file_id"), F.coalesce("props", F.lit("")).cast("binary").alias("content"))
+
+
+def _chunk_tables(spark: SparkSession, d: str, files=_files) -> tuple[DataFrame, DataFrame]:
+    pieces = chunks.fixed_chunks(files(spark, d))
     dictionary = chunks.chunk_dictionary(pieces)
     return dictionary, chunks.file_sequence(pieces, dictionary)
 
@@ -378,30 +400,42 @@ def q_chunk_restore(spark: SparkSession, d: str) -> DataFrame:
     return chunks.restore_chunks(sequence, dictionary).select("file_id", F.sha2("content", 256).alias("sha"))
 
 
-@query("q_best_base")
+@query("q_similarity", f"WITH {_PAIRS} SELECT a, b, length, matches FROM pairs")
+def q_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.similar_pairs(_chunk_tables(spark, d, _props)[0])
+
+
+@query("q_best_base", f"WITH {_BASES} SELECT chunk_id, best.b AS base_id, best.m AS matches FROM bases")
 def q_best_base(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.best_bases(_chunk_tables(spark, d)[0])
+    return chunks.best_bases(_chunk_tables(spark, d, _props)[0])
+
+
+def _deltas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    dictionary = _chunk_tables(spark, d, _props)[0]
+    return dictionary, chunks.chunk_deltas(dictionary, chunks.best_bases(dictionary))
 
 
-@query("q_chunk_deltas")
+@query("q_byte_delta", f"WITH {_DIFFS} SELECT chunk_id, base_id, off, byte FROM diffs WHERE chunk_id IN (SELECT chunk_id FROM kept)")
+def q_byte_delta(spark: SparkSession, d: str) -> DataFrame:
+    each = _deltas(spark, d)[1].select("chunk_id", "base_id", F.explode("diffs").alias("x"))
+    return each.select("chunk_id", "base_id", F.col("x.off").cast("long").alias("off"), F.lpad(F.hex("x.byte"), 2, "0").alias("byte"))
+
+
+@query("q_chunk_deltas", f"WITH {_DIFFS} SELECT * FROM kept")
 def q_chunk_deltas(spark: SparkSession, d: str) -> DataFrame:
-    dictionary = _chunk_tables(spark, d)[0]
-    found = chunks.chunk_deltas(dictionary, chunks.best_bases(dictionary))
-    return found.select("chunk_id", "base_id", "target_len", F.size("diffs").cast("long").alias("n_diffs"))
+    return _deltas(spark, d)[1].select("chunk_id", "base_id", "target_len", F.size("diffs").cast("long").alias("n_diffs"))
 
 
-@query("q_apply_delta")
+@query("q_apply_delta", f"WITH {_DIFFS} SELECT chunk_id, sha256(unhex(data)) AS sha FROM kept JOIN dict USING (chunk_id)")
 def q_apply_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks restored from deltas, and whether each equals the chunk itself."""
-    dictionary = _chunk_tables(spark, d)[0]
-    back = chunks.resolve_deltas(dictionary, chunks.chunk_deltas(dictionary, chunks.best_bases(dictionary)))
-    return back.join(dictionary.select("chunk_id", F.col("data").alias("own")), "chunk_id").select("chunk_id", (F.col("data") == F.col("own")).alias("equal"))
+    """Chunks restored from deltas."""
+    return chunks.resolve_deltas(*_deltas(spark, d)).select("chunk_id", F.sha2("data", 256).alias("sha"))
 
 
 @query("q_sequential_deltas")
 def q_sequential_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Deltas by the exact rule, in which only chunks kept whole are bases: a single pass over the ids."""
-    found = chunks.sequential_deltas(_chunk_tables(spark, d)[0])
+    """Deltas by the exact rule, in which only chunks kept whole are bases: a single pass over each range of ids."""
+    found = chunks.sequential_deltas(_chunk_tables(spark, d, _props)[0])
     return found.select("chunk_id", "base_id", "target_len", F.size("diffs").cast("long").alias("n_diffs"))
 
 

@@ -44,5 +44,5 @@ def test_sequential_deltas_look_past_64_deltas(spark, tmp_path):
     far = "".join(rng.choice("abcdef") for _ in range(size))
     near = "".join(rng.choice("uvwxyz") for _ in range(size))
     texts = [far, near, *(f"{n:04d}" + near[4:] for n in range(70)), "0000" + far[4:]]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.chunk_id: r.base_id for r in queries.QUERIES["q_sequential_deltas"](spark, str(tmp_path)).collect()} == {**dict.fromkeys(range(2, 72), 1), 72: 0}
