@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.functions.codecs import varint_bytes, varint_longs
 from loomline.functions.scalar import array_header, bin_size, is_canonical_int, str_size, varint_size, zigzag
 from loomline.operators.numbering import positions
 from loomline.session import cut
@@ -180,6 +181,18 @@ def decoded(columns: DataFrame) -> DataFrame:
     return each.filter("encoding <> 'delta_varint'").select(*KEY, "row_no", "value").union(steps)
 
 
+def packed(coded: DataFrame) -> DataFrame:
+    """``encoded`` with the numbers as bytes: integers and differences signed, indexes and run lengths unsigned."""
+    signed = F.col("encoding").isin("varint", "delta_varint")
+    return coded.select(*KEY, "encoding", "n", "first_row", "words", varint_bytes("numbers", signed).alias("data"), F.size("numbers").alias("count"))
+
+
+def unpacked(columns: DataFrame) -> DataFrame:
+    """The columns of ``packed`` as ``encoded`` has them; bytes that don't hold the numbers are an error."""
+    signed = F.col("encoding").isin("varint", "delta_varint")
+    return columns.select(*KEY, "encoding", "n", "first_row", "words", varint_longs("data", "count", signed).alias("numbers"))
+
+
 def row_mode_size(found: DataFrame) -> DataFrame:
     """(size): packed bytes of all row records: [template, values] or [-1, line]."""
     value_bytes = F.aggregate(F.transform("values", lambda v: str_size(F.octet_length(v)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)

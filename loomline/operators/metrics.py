@@ -26,7 +26,7 @@ def archive_metrics(rates: DataFrame, counts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(kept, F.col("hits"))), F.lit(0)).alias("template_reuse_count"), F.coalesce(F.sum(F.when(kept, F.col("raw"))), F.lit(0)).alias("raw_fallback_lines"),
         F.coalesce(F.sum(F.when(kept, F.col("slots"))), F.lit(0)).alias("total_var_slots"),
         F.count(F.when(~kept, 1)).alias("raw_files"), F.count(F.when(F.col("reason") == "low_structure", 1)).alias("low_structure_fallback_files"),
-        F.count(F.when(F.col("reason") == "no_templates", 1)).alias("no_template_files"),
+        F.count(F.when(F.col("reason") == "no_templates", 1)).alias("no_template_files"), F.count(F.when(F.col("reason") == "binary", 1)).alias("binary_files"),
     )
     shared = counts.agg(F.count(F.when(F.col("n") >= MIN_OCCURRENCES, 1)).alias("num_shared_templates"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))

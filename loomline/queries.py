@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions import scalar
 from loomline.functions.patterns import CANONICAL_INT, KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER, SIMPLE
+from loomline.functions.codecs import varint_bytes, varint_longs
 from loomline.operators import chunks, columns, metrics, structure, templates
+from loomline.plans import archive
 from loomline.session import cut, shared_folder
 from loomline.sources.corpora import rows_as_files, table_lines
 from loomline.streaming import counts as streaming
@@ -259,6 +261,23 @@ def q_zigzag(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("z", scalar.zigzag(F.col("v"))).withColumn("back", scalar.unzigzag(F.col("z")))
 
 
+def _sql_leb128(u: str) -> str:
+    """Hex of the bytes of a varint below 2^35."""
+    byte = lambda n, more: f"printf('%02X', (({u} >> {7 * n}) & 127) + {128 * more})"
+    return "CASE " + " ".join(f"WHEN {u} < {1 << (7 * (n + 1))} THEN " + " || ".join(byte(i, i < n) for i in range(n + 1)) for n in range(5)) + " END"
+
+
+@query("q_varint_bytes", f"SELECT l_orderkey, l_linenumber, {_sql_leb128('(l_partkey * l_orderkey)')} || {_sql_leb128('(2 * l_suppkey)')} AS bytes, l_partkey * l_orderkey AS first, 2 * l_suppkey AS second FROM lineitem WHERE l_partkey >= 0 UNION ALL SELECT l_orderkey, l_linenumber, {_sql_leb128('(-2 * l_partkey * l_orderkey - 1)')}, l_partkey * l_orderkey, 2 * l_suppkey FROM lineitem WHERE l_partkey < 0")
+def q_varint_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Two integers a row as varints, and back; a negative first one is written alone, signed."""
+    first = F.col("l_partkey").cast("long") * F.col("l_orderkey")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", first.alias("a"), (F.col("l_suppkey").cast("long") * 2).alias("b"))
+    below = F.col("a") < 0
+    coded = rows.withColumn("data", varint_bytes(F.when(below, F.array("a")).otherwise(F.array("a", "b")), below))
+    back = varint_longs("data", F.when(below, 1).otherwise(2), below)
+    return coded.withColumn("back", back).select("l_orderkey", "l_linenumber", F.hex("data").alias("bytes"), F.col("back")[0].alias("first"), F.coalesce(F.try_element_at("back", F.lit(2)), F.col("b")).alias("second"))
+
+
 def _sql_varint(u: str) -> str:
     return "(1 + " + " + ".join(f"CASE WHEN {u} >= {1 << (7 * n)} THEN 1 ELSE 0 END" for n in range(1, 9)) + ")"
 
@@ -451,11 +470,38 @@ def q_cdc_restore(spark: SparkSession, d: str) -> DataFrame:
     return chunks.restore_chunks(chunks.file_sequence(pieces, dictionary), dictionary).select("file_id", F.sha2("content", 256).alias("sha"))
 
 
+@query("q_dictionary_samples", f"WITH {_CHUNKS}, step AS (SELECT greatest(1, count(*) // {archive.DICT_SAMPLES}) AS k, count(*) AS n, sum(length(data) // 2) AS total FROM dict) SELECT chunk_id, sha256(unhex(data)) AS sha FROM dict, step WHERE step.n >= {archive.DICT_CHUNKS} AND total >= {archive.DICT_BYTES} AND chunk_id % k = 0 AND chunk_id < k * {archive.DICT_SAMPLES}")
+def q_dictionary_samples(spark: SparkSession, d: str) -> DataFrame:
+    return archive.dictionary_samples(_chunk_tables(spark, d)[0]).select("chunk_id", F.sha2("data", 256).alias("sha"))
+
+
+def _archived(spark: SparkSession, d: str, corpus: str, make) -> DataFrame:
+    """(file_id, sha) of what is restored from an archive of a table's rows as files."""
+    files = rows_as_files(spark, d, corpus).select("file_id", F.concat(F.lit(f"{corpus}/"), F.col("file_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    files = files.select("file_id", "path", F.octet_length("content").cast("long").alias("length"), "content", F.lit(True).alias("is_text"))
+    place = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    make(spark, files, place)
+    return archive.restored_files(spark, place).select("file_id", F.sha2("content", 256).alias("sha"))
+
+
+@query("q_template_archive", "SELECT doc_id AS file_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def q_template_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _archived(spark, d, "documents", lambda s, files, place: archive.template_archive(s, files, place, structured=False))
+
+
+@query("q_structured_archive", "SELECT page_id AS file_id, sha256(coalesce(html, '')) AS sha FROM pages")
+def q_structured_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _archived(spark, d, "pages", archive.template_archive)
+
+
+@query("q_chunk_archive", "SELECT doc_id AS file_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def q_chunk_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _archived(spark, d, "documents", lambda s, files, place: archive.chunk_archive(s, files, place, "cdc", delta=True))
+
+
 @query("q_zstd_sizes")
 def q_zstd_sizes(spark: SparkSession, d: str) -> DataFrame:
-    from loomline.plans.archive import zstd_size
-
-    sized = _files(spark, d).select("file_id", F.octet_length("content").cast("long").alias("raw"), zstd_size("content").alias("packed"))
+    sized = _files(spark, d).select("file_id", F.octet_length("content").cast("long").alias("raw"), archive.zstd_size("content").alias("packed"))
     return sized.withColumn("ratio", F.round(scalar.ratio(F.col("raw"), F.col("packed")), 4))
 
 
@@ -563,6 +609,17 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.round(pct, 6).alias("pct"), scalar.verdict(pct).alias("verdict"))
 
 
+_RESULTS = "SELECT l_suppkey::VARCHAR AS name, l_suppkey % 2 = 0 AS structured, (sum(l_quantity) - 25 * count(*)) / (25 * count(*))::DOUBLE * 100.0 AS delta_pct FROM lineitem GROUP BY l_suppkey"
+
+
+@query("q_roll_up", f"SELECT count(*) FILTER (WHERE delta_pct < 0) AS wins, count(*) FILTER (WHERE delta_pct > 10) AS losses, count(*) FILTER (WHERE delta_pct > 10 AND structured) AS structured_losses, max_by(name, delta_pct) AS worst, count(*) FILTER (WHERE delta_pct < 0) >= 3 AND count(*) FILTER (WHERE delta_pct > 10 AND structured) = 0 AS passed FROM ({_RESULTS})")
+def q_roll_up(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as results: how far the quantities of each lie from 25 on average."""
+    n = F.count(F.lit(1))
+    results = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey").agg(((F.sum("l_quantity") - n * 25).cast("double") / (n * 25) * 100.0).alias("delta_pct"))
+    return metrics.roll_up(results.select(F.col("l_suppkey").cast("string").alias("name"), (F.pmod("l_suppkey", F.lit(2)) == 0).alias("structured"), "delta_pct"))
+
+
 @query("q_format_delta", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey = 0 THEN '(baseline size is 0, delta not meaningful)' WHEN l_suppkey < l_partkey THEN format('archive is {:,} bytes ({:.1f}%) SMALLER than baseline.', l_partkey - l_suppkey, (l_partkey - l_suppkey) / l_partkey::DOUBLE * 100) WHEN l_suppkey > l_partkey THEN format('archive is {:,} bytes ({:.1f}%) LARGER than baseline.', l_suppkey - l_partkey, (l_suppkey - l_partkey) / l_partkey::DOUBLE * 100) ELSE 'archive is equal in size to baseline.' END AS said FROM lineitem")
 def q_format_delta(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", scalar.format_delta(F.col("l_suppkey"), F.col("l_partkey"), "archive", "baseline").alias("said"))
@@ -580,10 +637,10 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_stream_template_counts", f"SELECT regexp_replace(props, {_q(SIMPLE)}, '{{}}', 'g') AS template, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_template_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streaming.drain(streaming.stream_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return streaming.drain(streaming.stream_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", streaming.KEYS).select("template", "n")
 
 
 @query("q_windowed_template_counts", f"SELECT time_bucket(INTERVAL 1 hour, ts)::TIMESTAMP AS window_start, regexp_replace(props, {_q(SIMPLE)}, '{{}}', 'g') AS template, count(*) AS n FROM events GROUP BY ALL")
 def q_windowed_template_counts(spark: SparkSession, d: str) -> DataFrame:
-    counted = streaming.drain(streaming.windowed_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
-    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counted = streaming.drain(streaming.windowed_templates(_event_stream(spark, d)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", streaming.WINDOWED_KEYS)
+    return counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "template", "n")

@@ -33,6 +33,19 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file_id", "path", "length", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"))
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``directory`` for a single file, whose path is its name; anything else is a ValueError."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop) or fs.getFileStatus(hadoop).isDirectory():
+        raise ValueError(f"Not a file: {path}")
+    if fs.getFileStatus(hadoop).getLen():
+        read = spark.read.format("binaryFile").load(path).select("length", "content")
+    else:
+        read = spark.createDataFrame([(0, bytearray())], "length long, content binary")
+    return read.select(F.lit(0).cast("long").alias("file_id"), F.lit(hadoop.getName()).alias("path"), "length", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"))
+
+
 def rows_as_files(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """(file_id, text) of a table that serves as a corpus: documents, pages, or conversations and events, whose
     rows are the lines of a file."""

@@ -1,9 +1,11 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions import scalar
+from loomline.functions import codecs, scalar
 from loomline.operators import chunks, columns, metrics, structure, templates
 from loomline.operators.numbering import positions
 from loomline.plans import archive
@@ -139,7 +141,10 @@ def test_directory_order_and_kinds(spark, tree):
 @pytest.mark.parametrize("structured", [True, False])
 def test_template_archive_restores_exactly(spark, tree, tmp_path, structured):
     summary = archive.compress_templates(spark, str(tree), str(tmp_path / "out"), structured, block_rows=64)
-    assert summary["layout"] == "columnar" and summary["num_files"] == 5
+    assert summary["layout"] == "columnar" and summary["num_files"] == 6 and summary["binary_files"] == 1
+    assert summary["raw_tar_zstd_files"] == (6 if summary["mode"] == "raw" else 0)
+    assert (tmp_path / "out" / "encoded_columns").exists() == (summary["mode"] == "columnar") and (tmp_path / "out" / "templates").exists() == (summary["mode"] != "raw")
+    assert summary["tarzstd_size"] == len(archive.tar_zstd(directory(spark, str(tree))))
     assert archive.differences(spark, str(tree), str(tmp_path / "out")).count() == 0
     paths = archive.restore(spark, str(tmp_path / "out"), str(tmp_path / "back"))
     assert all((tmp_path / "back" / p).read_bytes() == (tree / p).read_bytes() for p in paths) and len(paths) == 6
@@ -158,13 +163,68 @@ def test_chunk_archive_restores_exactly(spark, tree, tmp_path, chunking, delta):
         assert spark.read.parquet(str(tmp_path / "out" / "chunk_deltas")).count() == 1
 
 
+@pytest.mark.parametrize(("name", "mode"), [("a.log", "template"), ("empty.txt", "raw"), ("one.bin", "raw"), ("prose.txt", "raw"), ("a/deep/b.log", None)])
+def test_single_files_as_templates_or_raw(spark, tree, tmp_path, name, mode):
+    if name == "a.log":
+        rng = random.Random(1)
+        said = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(200)]
+        (tree / name).write_text("".join(f"{rng.choice(said)} {rng.randrange(10)} {rng.choice('xyz')}\n" for _ in range(60_000)))
+    summary = archive.compress_file(spark, str(tree / name), str(tmp_path / "out"))
+    assert mode in (None, summary["mode"])
+    assert (summary["mode"] == "template") == (tmp_path / "out" / "records").exists() != (tmp_path / "out" / "raw_files").exists()
+    assert archive.differences(spark, str(tree / name), str(tmp_path / "out"), single=True).count() == 0
+    assert archive.restore(spark, str(tmp_path / "out"), str(tmp_path / "back"), shared=False) == [(tree / name).name]
+    with pytest.raises(ValueError, match="Not a file"):
+        archive.compress_file(spark, str(tree), str(tmp_path / "x"))
+
+
+def test_chunks_are_compressed_with_a_trained_dictionary(spark, tree, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(200)]
+    for i in range(30):
+        (tree / f"w{i}.txt").write_text(" ".join(rng.choice(words) for _ in range(1000)))
+    summary = archive.compress_chunks(spark, str(tree), str(tmp_path / "out"), delta=True)
+    assert summary["dictionary_bytes"] > 0 and archive.differences(spark, str(tree), str(tmp_path / "out")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "chunks")).selectExpr("max(octet_length(data))").first()[0] < 4096
+
+
+def test_varint_codecs():
+    values = np.array([0, 1, 127, 128, 300, 2**32, 2**62, 2**63 - 1])
+    assert codecs.encode_varints(values[:5]) == bytes([0, 1, 127, 128, 1, 172, 2])
+    assert codecs.decode_varints(codecs.encode_varints(values), len(values)).tolist() == values.tolist()
+    both = np.concatenate([values, -values, [-(2**63)]])
+    assert codecs.decode_signed(codecs.encode_signed(both), len(both)).tolist() == both.tolist()
+    assert codecs.encode_varints(np.zeros(0)) == b"" and codecs.decode_varints(b"", 0).tolist() == []
+    for wrong in (lambda: codecs.encode_varints([-1]), lambda: codecs.decode_varints(b"\x80", 1), lambda: codecs.decode_varints(b"\x01\x01", 1), lambda: codecs.decode_varints(b"\x80" * 10 + b"\x01", 1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_encoders_at_the_size_of_a_block(spark):
+    n = columns.BLOCK_ROWS
+    kinds = {"raw_msgpack": "cast(id * 7919 as string) || 'x'", "varint": "cast(pmod(xxhash64(id), 9000000) as string)", "delta_varint": "cast(1700000000 + id * 3 as string)", "dictionary": "'word' || pmod(id * 31, 5000)", "rle": "'run' || floor(id / 1000)"}
+    each = [spark.range(n).selectExpr("0L as tpl_id", "0L as block_id", f"{i} as slot", "id as row_no", f"{e} as value") for i, e in enumerate(kinds.values())]
+    cells = columns.cut(metrics.union_all(each))
+    choice = columns.encoding_choice(columns.column_sizes(cells))
+    assert [r.encoding for r in choice.orderBy("slot").collect()] == list(kinds)
+    began = time.time()
+    back = columns.decoded(columns.unpacked(columns.cut(columns.packed(columns.encoded(cells, choice)))))
+    assert back.count() == 5 * n and back.exceptAll(cells.select(*back.columns)).isEmpty()
+    assert time.time() - began < 120
+
+
 def test_unsafe_paths_and_unknown_archives(spark, tmp_path):
     for path in ("../x", "/etc/x", "a/../../x"):
         with pytest.raises(ValueError, match="unsafe"):
             archive.safe_path("/tmp/root", path)
     spark.createDataFrame([{"version": "9", "kind": "template"}]).write.parquet(str(tmp_path / "bad" / "manifest"))
-    with pytest.raises(ValueError, match="not an archive"):
+    with pytest.raises(ValueError, match="not an archive of version"):
         archive.restored_files(spark, str(tmp_path / "bad"))
+    spark.createDataFrame([{"version": "2", "kind": "other"}]).write.parquet(str(tmp_path / "kind" / "manifest"))
+    spark.createDataFrame([], "version string, kind string").write.parquet(str(tmp_path / "short" / "manifest"))
+    for name, what in (("kind", "known kind"), ("short", "empty"), ("none", "no manifest")):
+        with pytest.raises(ValueError, match=what):
+            archive.restored_files(spark, str(tmp_path / name))
     with pytest.raises(ValueError, match="unknown chunking"):
         archive.compress_chunks(spark, str(tmp_path), str(tmp_path / "y"), "other")
 
