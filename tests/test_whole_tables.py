@@ -1,9 +1,18 @@
+import functools
+import hashlib
+import json
+import os
 import random
 import re
+import time
+
+import pytest
+import zstandard
 
 from loomline import queries
 from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
 from loomline.operators import chunks
+from loomline.streaming import counts
 
 LINES = ["plain user1234 k=v 5", "größe=10 é12 naïve=ja k=ü,b", "é2024-01-02T03:04:05 ١٢ x²7", "a b=1 c=2 http://x.de/ü z", "Straße /pfad/ä/b éuser_abcd12 12é req-abcd1é", "a@b.deé ünit@web.de 1.2.3.4é ²1.2.3.4"]
 
@@ -46,3 +55,140 @@ def test_sequential_deltas_look_past_64_deltas(spark, tmp_path):
     texts = [far, near, *(f"{n:04d}" + near[4:] for n in range(70)), "0000" + far[4:]]
     spark.createDataFrame(list(enumerate(texts)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.chunk_id: r.base_id for r in queries.QUERIES["q_sequential_deltas"](spark, str(tmp_path)).collect()} == {**dict.fromkeys(range(2, 72), 1), 72: 0}
+
+
+DATA = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+
+
+def plain_scan(line):
+    """From the cursor, each kind searched for on its own; the earliest start wins, then the longer of key's value and kind."""
+    parts, values, kinds, at = [], [], [], 0
+    patterns = {k: re.compile(p) for k, p in KINDS.items()}
+    while at < len(line):
+        found = [(m.start(), n, k, m.end()) for n, (k, p) in enumerate(patterns.items()) if (m := p.search(line, at))]
+        options = [(s, -e, 1, k) for s, _, k, e in sorted(found)[:1]]
+        if m := re.compile(KEY_VALUE).search(line, at):
+            options.append((m.start(2), -m.end(2), 0, "kv:" + m[1].lower()))
+        if not options:
+            break
+        start, end, _, kind = min(options)
+        parts, values, kinds, at = [*parts, line[at:start]], [*values, line[start:-end]], [*kinds, kind], -end
+    return [*parts, line[at:]], values, kinds
+
+
+def plain_leaves(value, path=()):
+    if isinstance(value, dict) or (isinstance(value, list) and value):
+        for k, v in value.items() if isinstance(value, dict) else (("[]", x) for x in value):
+            yield from plain_leaves(v, (*path, k))
+    elif not isinstance(value, list):
+        yield path, "json_null" if value is None else "json_bool" if isinstance(value, bool) else "json_string" if isinstance(value, str) else "json_number"
+
+
+def plain_normal(part):
+    part = re.sub(r"\s+", " ", part.strip().lower())
+    for k in NORMAL_ORDER:
+        part = re.sub(KINDS[k], NORMAL_NAMES.get(k, f"<{k}>"), part)
+    return part
+
+
+def plain_analysis(line):
+    """(parts, values, kinds, skeleton, is_json, json_key) as one string each."""
+    try:
+        whole = json.loads(line) if line.strip()[:1] in ("{", "[") and line.strip() else None
+    except ValueError:
+        whole = None
+    if isinstance(whole, (dict, list)):
+        leaves = list(plain_leaves(whole))
+        key = sorted(f"{'.'.join(p)}={k}" for p, k in leaves)
+        return None, None, [k for _, k in leaves], ["json", *key], True, key
+    parts, values, kinds = plain_scan(line)
+    normal = [plain_normal(p) for p in parts]
+    return parts, values, kinds, [x for n, k in zip(normal, [*(f"<{k}>" for k in kinds), None], strict=True) for x in (n, k) if x is not None], False, []
+
+
+@needs_data
+def test_structure_of_every_line_against_a_plain_version(spark):
+    sep, analysed = queries.SEP, functools.cache(plain_analysis)
+    lines = {(r.corpus, r.file_id, r.line_index): r.line for r in queries.q_lines(spark, DATA).collect()}
+    got = queries.q_v2_template(spark, DATA).collect()
+    assert len(got) == len(lines) == 20_218
+    per = {}
+    for r in got:
+        line = lines[r.corpus, r.file_id, r.line_index]
+        parts, values, kinds, skeleton, is_json, key = analysed(line)
+        assert (r.kinds, r.skeleton, r.is_json) == (sep.join(kinds), sep.join(skeleton), is_json)
+        if not is_json:
+            assert (r.parts, r.vals) == (sep.join(parts), sep.join(values))
+        own = per.setdefault(r.corpus, [0, 0, set(), set(), {}])
+        own[0] += 1
+        own[1] += is_json
+        if key:
+            own[2].add(tuple(key))
+        own[3].add(tuple(skeleton))
+        own[4].setdefault(tuple(skeleton), set()).add(r.parts)
+    metrics = {r.corpus: (r.num_lines, r.json_lines_detected, r.json_template_count, r.normalized_template_count) for r in queries.q_v2_metrics(spark, DATA).collect()}
+    assert metrics == {c: (n, j, len(keys), len(skeletons)) for c, (n, j, keys, skeletons, _) in per.items()}
+    merged = {r.corpus: (r.n_skeletons, r.n_templates, r.merged) for r in queries.q_fuzzy_merge(spark, DATA).collect()}
+    assert merged == {c: (len(x[4]), sum(map(len, x[4].values())), sum(len(p) - 1 for p in x[4].values())) for c, x in per.items()}
+
+
+@needs_data
+def test_content_chunks_of_every_document_against_a_plain_version(spark):
+    table = [int.from_bytes(hashlib.sha256(chunks.GEAR_SEED + bytes([i])).digest()[:8], "big") for i in range(256)]
+    want = []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        data, at, seq = (r.text or "").encode(), 0, 0
+        while at < len(data):
+            end, h = min(at + chunks.CDC_MAX, len(data)), 0
+            if len(data) - at > chunks.CDC_MIN:
+                for i in range(at + chunks.CDC_MIN, end):
+                    h = ((h << 1) + table[data[i]]) & (2**64 - 1)
+                    if not h & chunks.CDC_MASK:
+                        end = i + 1
+                        break
+            else:
+                end = len(data)
+            want.append((r.doc_id, seq, hashlib.sha256(data[at:end]).hexdigest(), end - at))
+            at, seq = end, seq + 1
+    assert sorted(tuple(r) for r in queries.q_cdc_chunks(spark, DATA).collect()) == sorted(want)
+
+
+@needs_data
+def test_compressed_sizes_of_every_document(spark):
+    press = zstandard.ZstdCompressor(level=3)
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.file_id: (r.raw, r.packed) for r in queries.q_zstd_sizes(spark, DATA).collect()}
+    assert got == {i: (len(t), len(press.compress(t))) for i, t in want.items()}
+
+
+@needs_data
+def test_sequential_deltas_of_every_event_against_a_plain_version(spark):
+    seen, whole, want = [], [], {}
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "props").orderBy("event_id").collect():
+        data = (r.props or "").encode()
+        if data and data not in seen:
+            seen.append(data)
+    for i, data in enumerate(seen):
+        same = [(sum(a == b for a, b in zip(seen[j], data, strict=True)), j) for j in whole[-64:] if len(seen[j]) == len(data)]
+        equal, j = max(same, default=(0, -1))
+        diffs = [(n, b) for n, (a, b) in enumerate(zip(seen[j], data, strict=False)) if a != b]
+        size = (1 if len(diffs) < 16 else 3) + sum(1 + (1 if n < 128 else 2) + (1 if b < 128 else 2) for n, b in diffs)
+        if equal > int(0.8 * len(data)) and size < len(data):
+            want[i] = (j, len(diffs))
+        else:
+            whole.append(i)
+    assert {r.chunk_id: (r.base_id, r.n_diffs) for r in queries.q_sequential_deltas(spark, DATA).collect()} == want and want
+
+
+def test_late_rows_of_closed_windows_are_dropped(spark, tmp_path):
+    """A batch for each file: the last one's row is hours late, and its window closed two batches before."""
+    schema = "ts timestamp, line string"
+    for ts, line in [("2024-01-01 10:05:00", "a 1"), ("2024-01-01 12:30:00", "a 2"), ("2024-01-01 12:40:00", "a 4"), ("2024-01-01 10:10:00", "a 3")]:
+        time.sleep(1.1)  # files are taken in order of their times
+        spark.sql(f"select timestamp '{ts}' as ts, '{line}' as line").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = counts.drain(counts.windowed_templates(stream), f"{tmp_path}/out", counts.WINDOWED_KEYS).collect()
+    assert sorted((r.window_start.hour, r.template, r.n) for r in got) == [(10, "a {}", 1), (12, "a {}", 2)]
+    running = counts.drain(counts.stream_templates(stream), f"{tmp_path}/all", counts.KEYS).collect()
+    assert [(r.template, r.n) for r in running] == [("a {}", 4)]
