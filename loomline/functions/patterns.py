@@ -35,3 +35,8 @@ KEY_VALUE = r"""(\b[A-Za-z_][A-Za-z0-9_.-]*)=("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*
 
 # Fixed value: integers that print as they are written.
 CANONICAL_INT = r"^(0|-?[1-9][0-9]*)$"
+
+# What JSON takes for a string, a number and blanks.
+JSON_STRING = r'"(?:\\.|[^"\\])*"'
+JSON_NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
+JSON_BLANK = r"[ \t\r\n]*"

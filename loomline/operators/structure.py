@@ -1,12 +1,13 @@
 """Structure of lines: typed variables, key=value pairs, JSON leaves, normalised skeletons.
 
 Only the choice of the next variable needs a scanner (a key's value competes with the generic kinds for the next
-place, from a cursor); it runs in Arrow batches, once for each distinct line.  Counts of kinds and pairs, and
+place, from a cursor); it runs in Arrow batches.  Counts of kinds and pairs, and
 everything after the scan, are built-in expressions.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -14,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
+from loomline.functions.patterns import JSON_BLANK, JSON_NUMBER, JSON_STRING, KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
 
 _PAIR = re.compile(KEY_VALUE)
 _ANY = re.compile("|".join(f"(?P<{kind}>{body})" for kind, body in KINDS.items()))
 _SUBSTITUTIONS = [(re.compile(KINDS[k]), NORMAL_NAMES.get(k, f"<{k}>")) for k in NORMAL_ORDER]
-_STRING = re.compile(r'"(?:\\.|[^"\\])*"', re.DOTALL)
-_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_BLANK = re.compile(r"[ \t\r\n]*")
+_STRING, _NUMBER, _BLANK = re.compile(JSON_STRING, re.DOTALL), re.compile(JSON_NUMBER), re.compile(JSON_BLANK)
+#: Distinct lines whose analysis a worker keeps, and their length at most.
+CACHED, CACHED_CHARS = 20_000, 512
 _STRINGS = T.ArrayType(T.StringType())
 ANALYSIS = T.StructType([T.StructField(n, _STRINGS) for n in ("parts", "values", "kinds", "skeleton")] + [T.StructField("is_json", T.BooleanType()), T.StructField("json_key", _STRINGS)])
 LEAVES = T.ArrayType(T.StructType([T.StructField("path", _STRINGS), T.StructField("raw", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
@@ -127,26 +128,35 @@ def json_leaves(text: str) -> list[tuple[list[str], str, int, int, str]] | None:
             return leaves if skip(i) == len(text) else None
 
 
+def _of_text(line: str) -> dict:
+    """Literal parts stand between variables; the skeleton names each variable and normalises each part."""
+    parts, values, kinds = scan_text(line)
+    skeleton = [normalize(parts[0])]
+    for kind, part in zip(kinds, parts[1:], strict=True):
+        skeleton += [f"<{kind}>", normalize(part)]
+    return {"parts": parts, "values": values, "kinds": kinds, "skeleton": skeleton, "is_json": False, "json_key": []}
+
+
+def _of_json(line: str, leaves: list[tuple[list[str], str, int, int, str]]) -> dict:
+    """Leaves are the variables; paths and kinds of the leaves, sorted, are the skeleton, or the text where there are none."""
+    edges = [0, *(x for leaf in leaves for x in leaf[2:4]), len(line)]
+    key = sorted(".".join(path) + "=" + kind for path, _, _, _, kind in leaves) or ["json_empty", line.strip()]
+    between = [line[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return {"parts": between, "values": [x[1] for x in leaves], "kinds": [x[4] for x in leaves], "skeleton": ["json", *key], "is_json": True, "json_key": key}
+
+
 def analyze(line: str) -> dict:
     """Parts, values, kinds and skeleton of a line; JSON if it is one JSON object or array, else text."""
-    head = line.strip()[:1]
-    leaves = json_leaves(line) if head in ("{", "[") and head else None
-    if leaves is None:
-        parts, values, kinds = scan_text(line)
-        skeleton = [x for i, p in enumerate(parts) for x in ([normalize(p), f"<{kinds[i]}>"] if i < len(kinds) else [normalize(p)])]
-        return {"parts": parts, "values": values, "kinds": kinds, "skeleton": skeleton, "is_json": False, "json_key": []}
-    if not leaves:
-        empty = ["json_empty", line.strip()]
-        return {"parts": [line], "values": [], "kinds": [], "skeleton": ["json", *empty], "is_json": True, "json_key": empty}
-    ends = [0, *[x[3] for x in leaves]]
-    parts = [line[a : x[2]] for a, x in zip(ends, leaves, strict=False)] + [line[ends[-1] :]]
-    json_key = sorted(f"{'.'.join(x[0])}={x[4]}" for x in leaves)
-    return {"parts": parts, "values": [x[1] for x in leaves], "kinds": [x[4] for x in leaves], "skeleton": ["json", *json_key], "is_json": True, "json_key": json_key}
+    leaves = json_leaves(line) if line.lstrip().startswith(("{", "[")) else None
+    return _of_text(line) if leaves is None else _of_json(line, leaves)
+
+
+_kept = functools.lru_cache(maxsize=CACHED)(analyze)
 
 
 @F.pandas_udf(ANALYSIS)
 def analysis(line: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([analyze(x) for x in line], columns=["parts", "values", "kinds", "skeleton", "is_json", "json_key"])
+    return pd.DataFrame([(_kept if len(x) <= CACHED_CHARS else analyze)(x) for x in line], columns=["parts", "values", "kinds", "skeleton", "is_json", "json_key"])
 
 
 @F.pandas_udf(LEAVES)
@@ -159,9 +169,8 @@ def leaves(line: pd.Series) -> pd.Series:
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
-    """``lines`` with the analysis of each line; each distinct line is scanned once and joined back."""
-    distinct = lines.select("line").distinct().withColumn("a", analysis("line"))
-    return lines.join(distinct.select("line", "a.*"), "line")
+    """``lines`` with the analysis of each line; nothing is shuffled, and a worker scans a line that recurs once."""
+    return lines.withColumn("__a", analysis("line")).select(*lines.columns, "__a.*")
 
 
 def _unicode(pattern: str) -> str:
