@@ -136,8 +136,9 @@ def _rate(steps: list[list[float]]) -> Column:
     return r
 
 
-def fit_rates(table: DataFrame, shares: list[float], tokens: float | None = None) -> tuple[list[list[float]], list[float]]:
-    """Gradient steps for ``table`` (``__ll_tokens``, ``__ll_p*``), and the domain totals that they reach.
+def fit_rates(table: DataFrame, shares: list[float], tokens: float | None = None) -> tuple[list[list[float]], list[float], float]:
+    """Gradient steps for ``table`` (``__ll_tokens``, ``__ll_p*``), the domain totals that they reach, and the largest
+    distance of one from its target, as a share of all tokens.
 
     Minimises (A(r) - b)' W (A(r) - b) over r >= 0, where A(r) are the expected domain totals and b = shares *
     tokens (the table's own by default).  W is the inverse of sum t^2 p p' over the documents whose rate is
@@ -155,7 +156,7 @@ def fit_rates(table: DataFrame, shares: list[float], tokens: float | None = None
         gram = [F.sum(F.when(F.col("r") > 0, F.col(f"a{i}") * F.col(f"a{j}"))) for i in range(k) for j in range(k)]
         row = [float(x or 0) for x in rated.agg(*sums, *gram, F.sum("__ll_tokens")).first()]
         if not row[-1]:
-            return [], [0.0] * k
+            return [], [0.0] * k, 0.0
         total = row[-1] if total is None else total
         off = [x - s * total for x, s in zip(row[:k], shares, strict=True)]
         error = max(map(abs, off))
@@ -168,31 +169,37 @@ def fit_rates(table: DataFrame, shares: list[float], tokens: float | None = None
         if best[0] <= TOLERANCE * total:
             break
         steps = [*best[1], step]
-    return best[1], best[2]
+    return best[1], best[2], best[0] / total
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Domains, list[list[float]]]:
-    """(table of doc_id, ``__ll_tokens`` and ``__ll_p*``; the classifier; the gradient steps)."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Domains, list[list[float]], float]:
+    """(table of doc_id, ``__ll_tokens`` and ``__ll_p*``; the classifier; the gradient steps; how far they miss)."""
     model = fit_domains(docs, labelled, fit_rows)
     table = cut(_posteriors(docs.select("doc_id", "text"), model).drop("text"))
     whole = sum(targets.get(d, 0.0) for d in model.names)
     shares = [targets.get(d, 0.0) / whole if whole else 1.0 / len(model.names) for d in model.names]
-    return table, model, fit_rates(table, shares)[0]
+    steps, _, missed = fit_rates(table, shares)
+    return table, model, steps, missed
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate) of every row: how often it is to be drawn.
+    """(doc_id, n_tokens, p_<domain>..., rate, target_miss) of every row: how often it is to be drawn.
 
-    Null and empty texts have no tokens and rate 1.  Rows that repeat get equal rates.  Domains that no label
+    target_miss, the same in each row, says how far the expected total of a domain stays from its target at most, as a
+    share of all tokens: above ``TOLERANCE`` where the targets can't be met or ``ROUNDS`` steps weren't enough.
+    Texts of any length are read whole; columns other than ``doc_id`` and ``text`` are not read.  Null and empty texts have no tokens and rate 1.  Rows that repeat get equal rates.  Domains that no label
     names have no share; the other shares are scaled to one.  Without labels all rates are 1.
     """
-    table, model, steps = mix(docs, labelled, targets, fit_rows)
-    return table.select("doc_id", F.col("__ll_tokens").alias("n_tokens"), *[F.col(f"__ll_p{k}").alias(f"p_{d}") for k, d in enumerate(model.names)], F.round(_rate(steps), 9).alias("rate"))
+    table, model, steps, missed = mix(docs, labelled, targets, fit_rows)
+    return table.select("doc_id", F.col("__ll_tokens").alias("n_tokens"), *[F.col(f"__ll_p{k}").alias(f"p_{d}") for k, d in enumerate(model.names)], F.round(_rate(steps), 9).alias("rate"), F.lit(missed).alias("target_miss"))
 
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with a column ``mix_rate`` (which replaces one of that name); no join, as rates are expressions."""
-    _, model, steps = mix(docs, labelled, targets, fit_rows)
+    """``docs`` with a column ``mix_rate`` (which replaces one of that name); no join, as rates are expressions.
+
+    All rows stay, with the rates of ``rates``: 1 for null and empty texts, equal ones for repeated rows.
+    """
+    _, model, steps, _ = mix(docs, labelled, targets, fit_rows)
     rated = _posteriors(docs, model).withColumn("mix_rate", F.round(_rate(steps), 9))
     return rated.drop("__ll_tokens", *[f"__ll_p{k}" for k in range(len(model.names))])
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -45,7 +46,8 @@ def test_rates_against_a_plain_solver(spark):
     rng = random.Random(1)
     rows = [(i, rng.randint(1, 50), p, 1 - p) for i in range(200) for p in [rng.random()]]
     table = spark.createDataFrame(rows, "doc_id long, __ll_tokens long, __ll_p0 double, __ll_p1 double")
-    steps, reached = mixing.fit_rates(table, [0.75, 0.25])
+    steps, reached, missed = mixing.fit_rates(table, [0.75, 0.25])
+    assert missed <= mixing.TOLERANCE
     whole = sum(r[1] for r in rows)
     assert abs(reached[0] - 0.75 * whole) < 1e-3 * whole and abs(reached[1] - 0.25 * whole) < 1e-3 * whole
     got = {r.doc_id: r.r for r in table.select("doc_id", mixing._rate(steps).alias("r")).collect()}
@@ -60,10 +62,33 @@ def test_rates_against_a_plain_solver(spark):
 def test_unreachable_targets_stay_nonnegative(spark):
     rows = [(i, 10, 0.6, 0.4) for i in range(50)]
     table = spark.createDataFrame(rows, "doc_id long, __ll_tokens long, __ll_p0 double, __ll_p1 double")
-    steps, reached = mixing.fit_rates(table, [0.0, 1.0])
+    steps, reached, missed = mixing.fit_rates(table, [0.0, 1.0])
+    assert missed > 0.1  # and says so
     assert all(r[0] >= 0 for r in table.select(mixing._rate(steps)).collect()) and min(reached) >= 0
 
 
+def test_posteriors_against_a_plain_classifier(spark):
+    """Naive Bayes computed anew, from counts of the labelled rows, for the words and bins that the model holds."""
+    docs, labels = cases(200)
+    model = mixing.fit_domains(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    truth, names = dict(labels), sorted(TARGETS)
+    per = {d: [t for i, t, _ in docs if truth[i] == d] for d in names}
+    rate = lambda w, d: (sum(w in t.lower().split() for t in per[d]) + 0.5) / (len(per[d]) + 1)
+    shape = lambda t, p: min(mixing.BINS - 1, int(math.sqrt(len(re.findall(p, t)) / max(1, len(t))) * 16))
+    got = {r.doc_id: r for r in mixing.rates(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), TARGETS).collect()}
+    for i, text, _ in docs[::7]:
+        score = {}
+        for d in names:
+            score[d] = math.log(len(per[d]) / len(docs))
+            for pattern in (mixing.SYMBOLS, mixing.CAPITALS):
+                same = sum(shape(t, pattern) == shape(text, pattern) for t in per[d])
+                score[d] += math.log((same + 0.5) / (len(per[d]) + 0.5 * mixing.BINS))
+            for w in set(text.lower().split()) & set(model.words):
+                score[d] += math.log(rate(w, d) / (sum(rate(w, x) for x in names) / len(names)))
+        whole = sum(math.exp(s) for s in score.values())
+        assert all(abs(got[i][f"p_{d}"] - math.exp(s) / whole) < 1e-9 for d, s in score.items())
+
+
 def test_stage_keeps_rows_and_columns(spark):
     docs, labels = cases(60)
     d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
