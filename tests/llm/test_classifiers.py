@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 
 from loomline.llm import langid, quality
 
@@ -44,6 +45,36 @@ def test_quality_does_not_read_held_out_labels(spark):
     assert a == b
 
 
+def test_quality_scores_against_a_plain_version(spark):
+    rows, labels = quality_rows(300)
+    got = {r.doc_id: r.score for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    text = {i: t.encode() for i, t, _ in rows}
+    taught = sorted((i, q) for i, q in labels if crc(i) % 5)
+    build, rest = taught[::2], taught[1::2]
+    kept = []
+    for k in (0, 1):
+        pieces = [text[i][a : a + 4096] for i, q in build if q == k for a in range(0, len(text[i]), 4096)]
+        try:
+            kept.append(zstandard.train_dictionary(64 << 10, pieces).as_bytes())
+        except zstandard.ZstdError:
+            kept.append(b"".join(pieces)[-(64 << 10) :])
+    press = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in kept]
+
+    def features(t):
+        sizes = [sum(len(p.compress(t[a : a + 4096])) for a in range(0, len(t), 4096)) for p in press]
+        d = 10 * (sizes[0] - sizes[1]) / len(t)
+        return np.array([1, d, d * np.log1p(len(t)) / 10, np.clip(d, -1, 1) ** 2])
+
+    x, y = np.array([features(text[i]) for i, _ in rest]), np.array([q for _, q in rest])
+    w = np.zeros(4)
+    for _ in range(200):  # Newton steps for the logistic likelihood with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(4), x.T @ (y - p) - 1e-2 * w)
+    share = sum(q for _, q in taught) / len(taught)
+    w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    assert all(abs(got[i] - 1 / (1 + np.exp(-np.clip(features(t) @ w, -30, 30)))) < 1e-6 for i, t in text.items())
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
