@@ -5,7 +5,7 @@ A suffix array of all documents in one task is out of the question, so equal str
 together:
 
 1. Texts are put in packs of a few MB, compressed, in the shared checkpoint folder.  A document whose whole
-   text a smaller id holds is settled at once; texts with equal 128-bit hashes are taken for equal here.
+   text a smaller id holds is settled at once; texts with equal SHA-256 digests are taken for equal here.
 2. Every window is owned by its leftmost least 24-byte gram (by a 40-bit hash), so equal windows have equal
    owners.  Each pack sends its distinct owners to buckets once, however often it has them; an owner that
    two documents have is a candidate, and the pack gets that back as one bit for each owner.
@@ -134,18 +134,18 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def copies(packed: DataFrame) -> DataFrame:
-    """(pack, copies): places in the pack of documents whose whole text, of a window or more, a smaller id holds."""
+    """(pack, copies): places in the pack of documents whose whole text, of a window or more, a smaller id holds, by SHA-256."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, sizes, data in _each(batches):
             pack = Pack(ids, sizes, data)
             at = [i for i, t in enumerate(pack.texts) if len(t) >= WINDOW and not pack.null[i]]
-            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(pack.texts[i]) for i in at), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(pack.ids[at]), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["pack", "at", "doc_id", "h1", "h2"])
+            digests = [hashlib.sha256(pack.texts[i]).digest() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(pack.ids[at]), pa.array(digests, pa.binary())], ["pack", "at", "doc_id", "h"])
 
-    found = cut(packed.mapInArrow(heads, "pack long, at long, doc_id long, h1 long, h2 long"))
-    first = cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
-    return found.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("pack").agg(F.collect_list("at").alias("copies"))
+    found = cut(packed.mapInArrow(heads, "pack long, at long, doc_id long, h binary"))
+    first = cut(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
+    return found.join(first, "h").filter("doc_id > first").groupBy("pack").agg(F.collect_list("at").alias("copies"))
 
 
 def _settled(pack: Pack, copied: list | None) -> list[bool]:
@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_owners:
 
     Null text is empty.  Rows with a null doc_id are kept whole and are no one's smaller document.  Rows that
     repeat a doc_id are one document: none of them loses bytes to another, and each comes back.  ``kept`` is
-    binary, as a cut may fall inside a character.  Columns other than ``doc_id`` and ``text`` are not read.
+    binary, as a cut may fall inside a character.  Texts of any length are read whole, an empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are not read.
     """
     packed = packs(docs, pack_bytes)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
