@@ -1,6 +1,7 @@
 """Every registered query over tables with nulls in all columns, repeated rows, an extra clashing column, and none at all."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -103,3 +104,23 @@ def test_edge_tables(spark, folder, name):
     if name.split("_")[0] not in ("op2", "op4", "pipeline"):
         assert len(rows) == len(DOCS)
     globals()[f"check_{name.split('_')[0]}"](rows)
+
+
+def test_very_long_texts_and_ties(spark, tmp_path):
+    """Texts of 60,000 words and 30,000 lines: the item stands in the middle, twice, and the first place counts."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    item = " ".join(f"item{i}" for i in range(40))
+    line = "this line stands in three documents"
+    tongue = lambda n: " ".join("".join(rng.choice(["sch", "un", "eit"]) for _ in range(3)) for _ in range(n))
+    docs = [(1, " ".join([*words[:30_000], item, *words[30_000:], item]), "aa"), (2, "\n".join([line] * 30_000 + ["last"]), "aa"), (3, f"{line}\n{tongue(9000)}", "bb"), (4, f"{tongue(50)}\n{line}", "bb")]
+    docs += [(i, tongue(40) if i % 2 else " ".join(rng.choices(words, k=40)), "bb" if i % 2 else "aa") for i in range(10, 60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {n.split("_")[0]: q(spark, str(tmp_path)).collect() for n, q in __spark_entry__.queries().items() if n.startswith(("op4", "op5", "op6", "op8", "op10"))}
+    assert [tuple(r) for r in got["op4"]] == [(1, 7, 30_000, 1.0)]
+    assert {r.doc_id: r.n_tokens for r in got["op5"] if r.doc_id < 5} == {i: len(t.split()) for i, t, _ in docs[:4]}
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got["op6"]) == sorted((i, n, x, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, x in test_line_dedup.brute([(i, t) for i, t, _ in docs]))
+    test_brown.check_base(docs, got["op8"])
+    assert {r.doc_id: r.lang_pred for r in got["op10"] if r.doc_id in (1, 3)} == {1: "aa", 3: "bb"}
