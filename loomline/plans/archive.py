@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from loomline.operators import chunks, columns, metrics, structure, templates
-from loomline.session import cut
+from loomline.session import cut, remove
 from loomline.sources.corpora import directory, lines_of_files, one_file
 
 VERSION, ARCHIVES = 2, ("template", "chunk", "file")
@@ -185,7 +185,7 @@ def template_archive(spark: SparkSession, files: DataFrame, archive: str, struct
     baseline, chosen = tar_size(files), mode
     if _stored(spark, archive) > FALLBACK_RATIO * baseline:
         chosen = "raw"
-        _remove(spark, archive, "templates", "records", "encoded_columns", "row_refs", "raw_lines")
+        remove(spark, *(f"{archive}/{name}" for name in ("templates", "records", "encoded_columns", "row_refs", "raw_lines")))
         _save(files.select("file_id", "content"), archive, "raw_files")
     summary = metrics.archive_metrics(rates, counts).first().asDict()
     summary |= {"kind": "template", "mode": chosen, "layout": mode, "row_mode_size": row_size, "columnar_size": column_size, "tarzstd_size": baseline, "compressed_size": _stored(spark, archive), "structured": structured}
@@ -213,19 +213,13 @@ def compress_file(spark: SparkSession, source: str, archive: str) -> dict:
         _save(blocks.repartitionByRange(max(1, files.first().length // FILE_BYTES), "block"), archive, "records")
         size = _stored(spark, f"{archive}/templates") + _stored(spark, f"{archive}/records")
         mode = "template" if size <= raw_size else "raw"
-    _remove(spark, archive, *(("raw_files",) if mode == "template" else ("templates", "records")))
+    remove(spark, *(f"{archive}/{name}" for name in (("raw_files",) if mode == "template" else ("templates", "records"))))
     reuse = templates.reuse_rate(counts).first()
     summary = {"kind": "file", "mode": mode, "raw_size": raw_size, "template_size": size, "template_reuse_rate": reuse.rate, "num_lines": reuse.n_lines, "tarzstd_size": tar_size(files), "compressed_size": _stored(spark, archive)}
     _manifest(spark, archive, **summary)
     return summary
 
 
-def _remove(spark: SparkSession, archive: str, *names: str) -> None:
-    for name in names:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{archive}/{name}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _stored(spark: SparkSession, archive: str) -> int:
     """Bytes of the archive's Parquet files."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive)

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("LOOMLINE_DRIVER_MEMORY", "6g"),
@@ -42,6 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, wherever Spark reaches them."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
