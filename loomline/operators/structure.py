@@ -154,9 +154,14 @@ def analyze(line: str) -> dict:
 _kept = functools.lru_cache(maxsize=CACHED)(analyze)
 
 
+def analyzed(line: str) -> dict:
+    """``analyze``, kept for short lines that recur."""
+    return (_kept if len(line) <= CACHED_CHARS else analyze)(line)
+
+
 @F.pandas_udf(ANALYSIS)
 def analysis(line: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(_kept if len(x) <= CACHED_CHARS else analyze)(x) for x in line], columns=["parts", "values", "kinds", "skeleton", "is_json", "json_key"])
+    return pd.DataFrame([analyzed(x) for x in line], columns=["parts", "values", "kinds", "skeleton", "is_json", "json_key"])
 
 
 @F.pandas_udf(LEAVES)

@@ -139,7 +139,7 @@ def q_reuse_rate(spark: SparkSession, d: str) -> DataFrame:
     coalesce(sum(hits) FILTER (WHERE reason IS NULL), 0)::BIGINT AS template_reuse_count, coalesce(sum(raw) FILTER (WHERE reason IS NULL), 0)::BIGINT AS raw_fallback_lines,
     coalesce(sum(slots) FILTER (WHERE reason IS NULL), 0)::BIGINT AS total_var_slots, count(reason) AS raw_files,
     count(*) FILTER (WHERE reason = 'low_structure') AS low_structure_fallback_files, count(*) FILTER (WHERE reason = 'no_templates') AS no_template_files,
-    (SELECT count(*) FROM dict d WHERE d.corpus = r.corpus) AS num_shared_templates,
+    count(*) FILTER (WHERE reason = 'binary') AS binary_files, (SELECT count(*) FROM dict d WHERE d.corpus = r.corpus) AS num_shared_templates,
     round(coalesce(sum(hits) FILTER (WHERE reason IS NULL), 0) / sum(n_lines), 6) AS template_reuse_rate,
     round(coalesce(sum(slots) FILTER (WHERE reason IS NULL) / nullif(sum(hits) FILTER (WHERE reason IS NULL), 0), 0), 6) AS avg_vars_per_tpl_line
     FROM reasons r GROUP BY corpus""",
