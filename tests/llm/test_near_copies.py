@@ -92,6 +92,12 @@ def test_prefixes_of_linked_sets_meet_in_any_order():
                 assert any(np.intersect1d(a, b).size for a, b in zip(near_copies.prefix(base, table), near_copies.prefix(other, table), strict=True))
 
 
+def test_of_repeated_ids_the_same_row_stays(spark):
+    rows = [(5, f"text number {i} of many more words {i}") for i in range(6)] + [(6, "alone"), (None, "a"), (None, "a")]
+    kept = [sorted(map(str, simhash.keep_one(spark.createDataFrame(random.Random(s).sample(rows, 9), SCHEMA)).collect())) for s in range(3)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 4
+
+
 def test_the_stage_drops_copies_whose_fingerprints_are_far_apart(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(10_000)}" for _ in range(200)]
