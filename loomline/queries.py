@@ -475,12 +475,16 @@ def q_dictionary_samples(spark: SparkSession, d: str) -> DataFrame:
     return archive.dictionary_samples(_chunk_tables(spark, d)[0]).select("chunk_id", F.sha2("data", 256).alias("sha"))
 
 
+def _row_files(spark: SparkSession, d: str, corpus: str) -> DataFrame:
+    """A table's rows as the files of a directory."""
+    files = rows_as_files(spark, d, corpus).select("file_id", F.concat(F.lit(f"{corpus}/"), F.col("file_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.select("file_id", "path", F.octet_length("content").cast("long").alias("length"), "content", F.lit(True).alias("is_text"))
+
+
 def _archived(spark: SparkSession, d: str, corpus: str, make) -> DataFrame:
     """(file_id, sha) of what is restored from an archive of a table's rows as files."""
-    files = rows_as_files(spark, d, corpus).select("file_id", F.concat(F.lit(f"{corpus}/"), F.col("file_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
-    files = files.select("file_id", "path", F.octet_length("content").cast("long").alias("length"), "content", F.lit(True).alias("is_text"))
     place = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
-    make(spark, files, place)
+    make(spark, _row_files(spark, d, corpus), place)
     return archive.restored_files(spark, place).select("file_id", F.sha2("content", 256).alias("sha"))
 
 
@@ -499,6 +503,21 @@ def q_chunk_archive(spark: SparkSession, d: str) -> DataFrame:
     return _archived(spark, d, "documents", lambda s, files, place: archive.chunk_archive(s, files, place, "cdc", delta=True))
 
 
+@query("q_compare", "SELECT 'templates' AS archive, count(*) AS n_files, sum(octet_length(encode(coalesce(html, ''))))::BIGINT AS raw_bytes, 0::BIGINT AS n_different FROM pages UNION ALL SELECT 'chunks', count(*), sum(octet_length(encode(coalesce(html, ''))))::BIGINT, 0::BIGINT FROM pages")
+def q_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of archive of one table: files and bytes that went in, and files that come back otherwise."""
+    files = _row_files(spark, d, "pages")
+
+    def one(name, make):
+        place = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+        make(spark, files, place)
+        bad = metrics.tree_differences(files, archive.restored_files(spark, place)).agg(F.count(F.lit(1)).alias("n_different"))
+        whole = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("raw_bytes"))
+        return whole.join(bad).select(F.lit(name).alias("archive"), "n_files", "raw_bytes", "n_different")
+
+    return one("templates", archive.template_archive).union(one("chunks", archive.chunk_archive))
+
+
 @query("q_zstd_sizes")
 def q_zstd_sizes(spark: SparkSession, d: str) -> DataFrame:
     sized = _files(spark, d).select("file_id", F.octet_length("content").cast("long").alias("raw"), archive.zstd_size("content").alias("packed"))
