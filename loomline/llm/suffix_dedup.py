@@ -37,11 +37,14 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, slices, text_bytes
 from loomline.llm.suffix_groups import suffix_array, suffix_arrays
+from loomline.session import cut_dealt
 
 WINDOW, GRAM, SIDE = 50, 24, 13
 KEY = GRAM + SIDE
 #: Bytes of text in a pack, owners in a bucket of step 2 and parts in a bucket of step 4, about.
 PACK_BYTES, BUCKET_OWNERS, BUCKET_PARTS = 4 << 20, 500_000, 150_000
+#: Packs of a task, about.
+TASK_PACKS = 3
 #: Texts longer than this are cut for owner search, with an overlap of a window; positions take 24 bits.
 SEGMENT = 8 << 20
 #: Symbols below which small texts are sorted in lockstep.
@@ -99,8 +102,9 @@ class Pack:
 PACK_SCHEMA = "pack long, ids binary, sizes binary, data binary"
 
 
-def packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """The texts of ``docs`` (null: empty) in packs."""
+def packs(docs: DataFrame, total: int, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """The texts of ``docs`` (null: empty, ``total`` bytes) in packs, dealt by pack once: what the packs are joined with
+    comes to them, and they stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -123,7 +127,8 @@ def packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
         if ids:
             yield out()
 
-    return cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACK_SCHEMA))
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACK_SCHEMA)
+    return cut_dealt(packed, -(-total // (TASK_PACKS * pack_bytes)), "pack")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -458,20 +463,20 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_owners:
     repeat a doc_id are one document: none of them loses bytes to another, and each comes back.  ``kept`` is
     binary, as a cut may fall inside a character.  Texts of any length are read whole, an empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are not read.
     """
-    packed = packs(docs, pack_bytes)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    packed = packs(docs, total, pack_bytes)
     owner_buckets = max(1, -(-total // (14 * bucket_owners)))
-    known = packed.join(cut(copies(packed)), "pack", "left").select("pack", "ids", "sizes", "data", "copies")
+    known = packed.join(cut(copies(packed)).hint("merge"), "pack", "left").select("pack", "ids", "sizes", "data", "copies")
     sent = known.mapInArrow(_send_owners(owner_buckets), "bucket long, pack long, hashes binary, several binary")
     # copies are handed on in buckets of their own, one for each pack
     met = cut(sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("pack")).otherwise(0).alias("own")).applyInPandas(_meet_owners, "pack long, bucket long, bits binary, n long"))
     part_buckets = max(1, -(-2 * (met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // bucket_parts))
     replies = cut(met.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies")))
-    told = packed.join(replies, "pack").select("pack", "ids", "sizes", "data", "replies")
+    told = packed.join(replies.hint("merge"), "pack").select("pack", "ids", "sizes", "data", "replies")
     parts = told.mapInArrow(_send_parts(owner_buckets, part_buckets), "bucket long, pack long, n long, data binary")
     verdicts = parts.groupBy("bucket").applyInPandas(_meet_parts, "pack long, bucket long, runs binary")
     verdicts = cut(verdicts.groupBy("pack").agg(F.collect_list(F.struct("bucket", "runs")).alias("verdicts")))
-    last = packed.join(replies, "pack").join(verdicts, "pack", "left").select("pack", "ids", "sizes", "data", "replies", "verdicts")
+    last = packed.join(replies.hint("merge"), "pack").join(verdicts.hint("merge"), "pack", "left").select("pack", "ids", "sizes", "data", "replies", "verdicts")
     return last.mapInArrow(_remove(owner_buckets, part_buckets), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, kept_sha256 string")
 
 
