@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 from loomline.functions.codecs import varint_bytes, varint_longs
 from loomline.functions.scalar import array_header, bin_size, is_canonical_int, str_size, varint_size, zigzag
 from loomline.operators.numbering import positions
-from loomline.session import cut
+from loomline.session import cut_dealt
 
+#: Cells of a partition, about.
+PART_CELLS = 2_000_000
 # Rows in a block; share and step of columns that deltas suit; encodings in order of preference.
 BLOCK_ROWS = 262_144
 DELTA_SHARE, DELTA_STEP = 0.9, 16
@@ -36,8 +38,9 @@ def slots(rows: DataFrame) -> DataFrame:
 
 
 def dealt_cells(rows: DataFrame) -> DataFrame:
-    """``slots`` kept by column and in order, so that what follows needs no further shuffle or sort."""
-    return cut(slots(rows).repartition(*KEY).sortWithinPartitions(*KEY, "row_no"))
+    """``slots`` of a cut table of rows, kept by column and in order, so that what follows needs no further shuffle or sort."""
+    total = rows.agg(F.coalesce(F.sum(F.size("values")), F.lit(0))).first()[0]
+    return cut_dealt(slots(rows), 1 + total // PART_CELLS, *KEY, order=(*KEY, "row_no"))
 
 
 def row_refs(rows: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ _INTS = f"{_SLOTS}, marked AS (SELECT *, {_INT} AS v FROM cells), ints AS (SELEC
 
 
 def _cells(spark: SparkSession, d: str, corpus: str) -> DataFrame:
-    return columns.dealt_cells(columns.numbered_rows(_records(spark, d, corpus)))
+    return columns.dealt_cells(cut(columns.numbered_rows(_records(spark, d, corpus))))
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -340,7 +340,7 @@ ref_sizes AS (SELECT corpus, sum({_sql_varint('fd')} + {_sql_varint('ld')})::BIG
 def q_mode_choice(spark: SparkSession, d: str) -> DataFrame:
     def one(c):
         found = cut(_records(spark, d, c))
-        rows = columns.numbered_rows(found)
+        rows = cut(columns.numbered_rows(found))
         return columns.mode_sizes(found, columns.row_refs(rows), columns.encoding_choice(columns.column_sizes(columns.dealt_cells(rows))))
 
     return _per_corpus(one)

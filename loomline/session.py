@@ -54,3 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_dealt(df: DataFrame, parts: int, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``cut``, dealt by ``keys`` to ``parts`` partitions or more, each sorted by ``order``.
+
+    The plan of what is kept knows this, so joins, groups and windows by the keys leave it where it is.  That holds for
+    plans made without adaptive execution only, and for as many partitions as a shuffle has by default at least; so
+    ``df`` should be a cut table, or rows straight from a scan.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = df.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+        return (dealt.sortWithinPartitions(*order) if order else dealt).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -9,6 +9,7 @@ from loomline.functions import codecs, scalar
 from loomline.operators import chunks, columns, metrics, structure, templates
 from loomline.operators.numbering import positions
 from loomline.plans import archive
+from loomline.session import cut
 from loomline.sources.corpora import directory, lines_of_files, lines_of_text
 
 EDGES = ["", "a {} 5", "{} {} 7", "lone\rreturn 1", "crlf 5\r", "nul \0 byte 3", "-0 007 +1", "9" * 40, "123e4567-e89b-12d3-a456-426614174000@example.com x=1", 'k="a b" k2=[1 2] Z=\'q\'', '{"a":{},"b":1}', '{"a":1,"a":2}', "[]", '{"x":[1,"two",null,true,{"y":-1.5e3}]}', "request username path /a/b", "ümlaut é 12", "  spaced   out  4 "]
@@ -204,11 +205,11 @@ def test_encoders_at_the_size_of_a_block(spark):
     n = columns.BLOCK_ROWS
     kinds = {"raw_msgpack": "cast(id * 7919 as string) || 'x'", "varint": "cast(pmod(xxhash64(id), 9000000) as string)", "delta_varint": "cast(1700000000 + id * 3 as string)", "dictionary": "'word' || pmod(id * 31, 5000)", "rle": "'run' || floor(id / 1000)"}
     each = [spark.range(n).selectExpr("0L as tpl_id", "0L as block_id", f"{i} as slot", "id as row_no", f"{e} as value") for i, e in enumerate(kinds.values())]
-    cells = columns.cut(metrics.union_all(each))
+    cells = cut(metrics.union_all(each))
     choice = columns.encoding_choice(columns.column_sizes(cells))
     assert [r.encoding for r in choice.orderBy("slot").collect()] == list(kinds)
     began = time.time()
-    back = columns.decoded(columns.unpacked(columns.cut(columns.packed(columns.encoded(cells, choice)))))
+    back = columns.decoded(columns.unpacked(cut(columns.packed(columns.encoded(cells, choice)))))
     assert back.count() == 5 * n and back.exceptAll(cells.select(*back.columns)).isEmpty()
     assert time.time() - began < 120
 
