@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 
     Null, empty and white-space-only texts have fingerprint zero and link like any other.  component_id is
     the smallest non-null doc_id of the component; it is null only where all its ids are null.  Rows that
-    repeat a doc_id each come back.  Columns other than ``doc_id`` and ``text`` are not read.
+    repeat a doc_id each come back.  Texts of any length are read whole; an empty table gives no rows.  Columns other
+    than ``doc_id`` and ``text`` are not read.
     """
     if radius != RADIUS:
         raise ValueError("large buckets are split for a radius of two")
@@ -128,5 +129,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies; these link by shingle sets, not by fingerprints."""
+    """``docs`` with one row of each group of near copies.
+
+    These link by sets of 5-word shingles (similarity 0.8 or more), not by fingerprints, which differ in some 10 bits at
+    that similarity; see ``near_copies.keep_one`` for nulls, repeated rows and other columns.
+    """
     return near_copies.keep_one(docs)
