@@ -172,10 +172,27 @@ def q_roundtrip_check(spark: SparkSession, d: str) -> DataFrame:
     return templates.restored_texts(lines).select("file_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
-@query("q_integrity", "SELECT NULL::BIGINT AS file_id, NULL::BIGINT AS line_index, NULL::VARCHAR AS error WHERE false")
+_DAMAGED = f"{_RECORDS}, left_ AS (SELECT * FROM records WHERE corpus = 'documents' AND line_index <> 1)"
+
+
+@query(
+    "q_integrity",
+    f"""WITH {_DAMAGED} SELECT file_id, line_index::BIGINT AS line_index, 'unknown template' AS error FROM left_ WHERE tpl_id % 2 = 0
+    UNION ALL SELECT file_id, NULL, 'gap or repeat in lines' FROM left_ GROUP BY file_id HAVING count(*) <> count(DISTINCT line_index) OR count(*) <> max(line_index) + 1""",
+)
 def q_integrity(spark: SparkSession, d: str) -> DataFrame:
-    dictionary = _dictionary(spark, d, "documents")
-    return templates.integrity_errors(templates.records(_tokens(spark, d, "documents"), dictionary), dictionary).withColumn("line_index", F.col("line_index").cast("long"))
+    """What the check finds in records without the second line of each file and a dictionary without every other template."""
+    found = cut(_records(spark, d, "documents"))
+    dictionary = _dictionary(spark, d, "documents").filter("tpl_id % 2 = 1")
+    return templates.integrity_errors(found.filter("line_index <> 1"), dictionary).withColumn("line_index", F.col("line_index").cast("long"))
+
+
+@query("q_integrity_whole", "SELECT count(DISTINCT doc_id) AS n_files, 0::BIGINT AS n_errors FROM documents")
+def q_integrity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same check of whole records: files, and errors found."""
+    found = cut(_records(spark, d, "documents"))
+    errors = templates.integrity_errors(found, _dictionary(spark, d, "documents")).agg(F.count(F.lit(1)).alias("n_errors"))
+    return found.agg(F.count_distinct("file_id").alias("n_files")).join(errors)
 
 
 # ---- columns and encodings -------------------------------------------------------------------------------------
@@ -201,6 +218,12 @@ def q_slots(spark: SparkSession, d: str) -> DataFrame:
     return _per_corpus(lambda c: _longs(_cells(spark, d, c), "slot", "line_index"))
 
 
+@query("q_row_blocks", f"WITH {_ROWS} SELECT corpus, tpl_id, row_no // 100 AS block_id, row_no, file_id, line_index::BIGINT AS line_index FROM rows_")
+def q_row_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Template rows in blocks of a hundred, so that there are several."""
+    return _per_corpus(lambda c: _longs(columns.numbered_rows(_records(spark, d, c), 100), "line_index").drop("values"))
+
+
 @query("q_column_stats", f"WITH {_INTS} SELECT {_K}, count(*) AS n, count(v) AS n_ints, count(DISTINCT value) AS n_distinct, coalesce(max(v), -1) AS top FROM marked GROUP BY {_K}")
 def q_column_stats(spark: SparkSession, d: str) -> DataFrame:
     def one(c):

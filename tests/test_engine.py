@@ -9,7 +9,7 @@ from loomline.functions import codecs, scalar
 from loomline.operators import chunks, columns, metrics, structure, templates
 from loomline.operators.numbering import positions
 from loomline.plans import archive
-from loomline.session import cut
+from loomline.session import cut, cut_dealt
 from loomline.sources.corpora import directory, lines_of_files, lines_of_text
 
 EDGES = ["", "a {} 5", "{} {} 7", "lone\rreturn 1", "crlf 5\r", "nul \0 byte 3", "-0 007 +1", "9" * 40, "123e4567-e89b-12d3-a456-426614174000@example.com x=1", 'k="a b" k2=[1 2] Z=\'q\'', '{"a":{},"b":1}', '{"a":1,"a":2}', "[]", '{"x":[1,"two",null,true,{"y":-1.5e3}]}', "request username path /a/b", "ümlaut é 12", "  spaced   out  4 "]
@@ -302,3 +302,13 @@ def test_registry_imports_without_a_session():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dealt_tables_stay_where_they_are(spark):
+    dealt = cut_dealt(spark.range(1000).selectExpr("id % 50 as k", "id as x"), 6, "k", order=("k", "x"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    other = cut(spark.range(50).selectExpr("id as k", "id * 2 as y"))
+    plan = dealt.join(other.hint("merge"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    sums = dealt.groupBy("k").agg(F.sum("x").alias("s"))
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString() and sums.count() == 50
