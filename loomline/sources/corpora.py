@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomline.operators.numbering import positions
 
 
+#: Bytes a core below which a table's rows are dealt over all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, path, length, content, is_text) of all files under ``path``, numbered by path component.
 
@@ -46,14 +50,21 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.lit(0).cast("long").alias("file_id"), F.lit(hadoop.getName()).alias("path"), "length", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt over all cores if they are few bytes; larger tables have parts enough of their own."""
+    context = rows.sparkSession.sparkContext
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(context.defaultParallelism) if size < context.defaultParallelism * SPREAD_BYTES else rows
+
+
 def rows_as_files(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """(file_id, text) of a table that serves as a corpus: documents, pages, or conversations and events, whose
     rows are the lines of a file."""
     read = spark.read.parquet(f"{sf_dir}/{corpus}.parquet")
     if corpus == "documents":
-        return read.select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
+        return spread(read.select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text")))
     if corpus == "pages":
-        return read.select(F.col("page_id").alias("file_id"), F.coalesce("html", F.lit("")).alias("text"))
+        return spread(read.select(F.col("page_id").alias("file_id"), F.coalesce("html", F.lit("")).alias("text")))
     raise ValueError(f"no such corpus: {corpus}")
 
 
@@ -74,7 +85,7 @@ def table_lines(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
         return lines_of_text(rows_as_files(spark, sf_dir, corpus))
     read = spark.read.parquet(f"{sf_dir}/{corpus}.parquet")
     if corpus == "events":
-        return read.select(F.ascii("event_type").cast("long").alias("file_id"), F.col("event_id").alias("line_index"), F.coalesce("props", F.lit("")).alias("line"))
+        return spread(read.select(F.ascii("event_type").cast("long").alias("file_id"), F.col("event_id").alias("line_index"), F.coalesce("props", F.lit("")).alias("line")))
     if corpus == "conversations":
-        return read.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("line_index"), F.coalesce("text", F.lit("")).alias("line"))
+        return spread(read.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("line_index"), F.coalesce("text", F.lit("")).alias("line")))
     raise ValueError(f"no such corpus: {corpus}")
