@@ -51,10 +51,10 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` of a scan, dealt over all cores if they are few bytes; larger tables have parts enough of their own."""
-    context = rows.sparkSession.sparkContext
+    """``rows`` of a scan, dealt over all cores if they are few bytes in few files; larger tables have parts enough of their own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(context.defaultParallelism) if size < context.defaultParallelism * SPREAD_BYTES else rows
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES and len(rows.inputFiles()) < cores else rows
 
 
 def rows_as_files(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
