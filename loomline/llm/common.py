@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.session import cut
+from loomline.sources.corpora import spread
 
 #: The white space that separates words and pads lines (fixed values).
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table, read through Spark (any store Spark can open)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    """The named columns of a table, read through Spark (any store Spark can open); a small table is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
