@@ -69,7 +69,47 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+def _sql_hits(kind: int, pattern: str, group: int = 0, fine: str = "true") -> str:
+    """Matches of a pattern in ``docs``: place, the gap before, own length, and whether the value is fine."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, {kind} AS k, i, length(gaps[i]) AS gap, length(hits[i]) AS size, {fine} AS fine
+  FROM (SELECT r, gaps, hits, vals, unnest(generate_series(1, len(hits))) AS i
+    FROM (SELECT r, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS vals FROM docs WHERE regexp_matches(t, {p})))"""
+
+
+#: A weak secret is a whole run of these characters that is long and mixed enough.
+_RUN, _MIXED = "[A-Za-z0-9+/_-]+", "length(hits[i]) >= 16 AND regexp_matches(hits[i], '[0-9]') AND regexp_matches(hits[i], '[A-Z]') AND regexp_matches(hits[i], '[a-z]')"
+_HITS = " UNION ALL ".join(
+    [
+        _sql_hits(0, secrets.ASSIGN, 2, "length(vals[i]) >= 6"),
+        *(_sql_hits(k, p) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX), (3, secrets.IDENTIFIER), (5, secrets.ENDPOINT))),
+        _sql_hits(4, _RUN, 0, _MIXED),
+    ]
+)
+_NAMED = "list_value(" + ", ".join(f"'{k}'" for k in secrets.KINDS) + ")[k + 1] || ':' || s || ':' || e"
+_EARLIER, _LATER = (f"OVER (PARTITION BY r ORDER BY s{x}, k{x}, e{x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for x in ("", " DESC"))
+
+
+def _sql_near(kinds: str) -> str:
+    return f"(coalesce(s - max(CASE WHEN k IN {kinds} THEN e END) {_EARLIER} <= {secrets.REACH}, false) OR coalesce(min(CASE WHEN k IN {kinds} THEN s END) {_LATER} - e <= {secrets.REACH}, false))"
+
+
 ORACLE_SQL = {
+    "op9_secret_scan": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+hit AS ({_HITS}),
+placed AS (SELECT r, k, size, fine, (sum(gap + size) OVER (PARTITION BY r, k ORDER BY i))::BIGINT AS e FROM hit),
+part AS (SELECT r, k, e - size AS s, e FROM placed WHERE fine),
+linked AS (
+  SELECT r, k, s, e, {_sql_near('(1, 3)')} AS ident, {_sql_near('(0, 2, 4)')} AS secret,
+    coalesce(max(CASE WHEN k <= 2 THEN e END) {_EARLIER} <= s, true) AND coalesce(min(CASE WHEN k <= 2 THEN s END) {_LATER} >= e, true) AS apart
+  FROM part),
+kept AS (SELECT * FROM linked WHERE k <= 2 OR (apart AND CASE k WHEN 3 THEN secret WHEN 4 THEN ident ELSE ident AND secret END))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce(string_agg({_NAMED}, ',' ORDER BY s, k, e) FILTER (WHERE k <= 2), '')) AS base_sha256,
+  coalesce(string_agg({_NAMED}, ',' ORDER BY s, k, e), '') AS spans
+FROM docs LEFT JOIN kept USING (r) GROUP BY r
+""",
     "op3_suffix_array_dedup": r"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 windows AS (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS pos FROM texts WHERE length(h) >= 100),
