@@ -8,10 +8,12 @@ together:
    text a smaller id holds is settled at once; texts with equal SHA-256 digests are taken for equal here.
 2. Every window is owned by its leftmost least 24-byte gram (by a 40-bit hash), so equal windows have equal
    owners.  Each pack sends its distinct owners to buckets once, however often it has them; an owner that
-   two documents have is a candidate, and the pack gets that back as one bit for each owner.
+   two documents have is a candidate, and the pack gets that back as one bit for each owner, with another one that
+   says whether the owner is hot: had by very many packs, or often in one of them.
 3. The windows of a candidate owner fall in two parts, by which side has at least 13 more bytes of context;
    a part's key is its 37 bytes around the owner that all its windows hold.  Each pack sends each distinct
-   part to the bucket of its key with the smallest doc_id that has it.
+   part to the bucket of its key with the smallest doc_id that has it.  A hot owner's windows are parts of their
+   own, and their own keys, so what a key brings together is bounded whatever documents share.
 4. In a bucket, the distinct parts of a key are set one after another, the key itself as a single symbol, and
    their suffix array is built by linear grouping.  Equal windows are neighbours there; each run of them gets
    its smallest doc_id, which goes back to the packs.
@@ -43,8 +45,8 @@ WINDOW, GRAM, SIDE = 50, 24, 13
 KEY = GRAM + SIDE
 #: Bytes of text in a pack, owners in a bucket of step 2 and parts in a bucket of step 4, about.
 PACK_BYTES, BUCKET_OWNERS, BUCKET_PARTS = 4 << 20, 500_000, 150_000
-#: Packs of a task, about.
-TASK_PACKS = 3
+#: Packs of a task, about; an owner is hot if more packs than this have it, or one has more runs of it than this.
+TASK_PACKS, HOT_PACKS, HOT_RUNS = 3, 1024, 256
 #: Texts longer than this are cut for owner search, with an overlap of a window; positions take 24 bits.
 SEGMENT = 8 << 20
 #: Symbols below which small texts are sorted in lockstep.
@@ -179,6 +181,10 @@ class _Owners:
         self.which = np.empty(len(every), np.int64)
         self.which[self.order] = np.cumsum(fresh) - 1
 
+    def often(self, runs: int) -> np.ndarray:
+        """Which distinct owners have more than so many runs."""
+        return np.diff(np.append(self.starts, len(self.order))) > runs
+
     def several(self) -> np.ndarray:
         """Which distinct owners two documents have."""
         if not len(self.starts):
@@ -196,50 +202,65 @@ def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int
     return order, list(zip(ranked[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ranked)], strict=False))
 
 
-def _send_owners(buckets: int):
-    """Step 2, from packs: one row for each bucket, with its owners (5 bytes each) and whether two documents of
-    the pack have them; a row for bucket -1 hands the pack's copies on."""
+def _bits(*masks: np.ndarray) -> bytes:
+    return b"".join(np.packbits(m).tobytes() for m in masks)
+
+
+def _masks(bits: bytes, n: int) -> list[np.ndarray]:
+    """The two masks of ``n`` places that ``_bits`` packed."""
+    width = -(-n // 8)
+    return [np.unpackbits(np.frombuffer(bits, np.uint8, width, at), count=n).astype(bool) for at in (0, width)]
+
+
+def _send_owners(buckets: int, hot_runs: int):
+    """Step 2, from packs: one row for each bucket, with its owners (5 bytes each), whether two documents of the pack
+    have them, and whether it has them often; a row for bucket -1 hands the pack's copies on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, sizes, data, copied in _each(batches):
             pack = Pack(ids, sizes, data)
             own = _Owners(pack, _settled(pack, copied))
-            distinct, several = own.distinct, own.several()
+            distinct, several, often = own.distinct, own.several(), own.often(hot_runs)
             rows = [(-1, np.array(copied or [], np.int64).tobytes(), b"")]
             order, dealt = _dealt(distinct, buckets)
             for b, first, last in dealt:
                 mine = order[first:last]
                 h = distinct[mine]
-                rows.append((b, (h >> np.uint64(8)).astype(np.uint32).tobytes() + (h & np.uint64(255)).astype(np.uint8).tobytes(), np.packbits(several[mine]).tobytes()))
+                rows.append((b, (h >> np.uint64(8)).astype(np.uint32).tobytes() + (h & np.uint64(255)).astype(np.uint8).tobytes(), _bits(several[mine], often[mine])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "pack", "hashes", "several"])
 
     return run
 
 
-def _meet_owners(group: pd.DataFrame) -> pd.DataFrame:
-    """Step 2, in a bucket: for each pack, a bit for each owner: do two documents have it?"""
+def _meet_owners(group: pd.DataFrame, hot_packs: int) -> pd.DataFrame:
+    """Step 2, in a bucket: for each pack, two bits for each owner: do two documents have it, and is it hot?"""
     if group.bucket.iloc[0] == -1:
         return pd.DataFrame({"pack": group.pack, "bucket": -1, "bits": group.hashes, "n": 0})
-    parts, several = [], []
+    parts, several, often = [], [], []
     for blob, bits in zip(group.hashes, group.several, strict=True):
         n = len(blob) // 5
         parts.append(np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(blob, np.uint8, n, 4 * n))
-        several.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
+        for kept, mask in zip((several, often), _masks(bits, n), strict=True):
+            kept.append(mask)
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
     which = np.cumsum(fresh) - 1
-    shared = (np.bincount(which) > 1) | (np.bincount(which, np.concatenate(several)[order]) > 0)
-    out = np.empty(len(every), bool)
-    out[order] = shared[which]
+    packs = np.bincount(which)
+    shared = (packs > 1) | (np.bincount(which, np.concatenate(several)[order]) > 0)
+    hot = (packs > hot_packs) | (np.bincount(which, np.concatenate(often)[order]) > 0)
     ends = np.cumsum([len(p) for p in parts])
-    bits = [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])]
-    return pd.DataFrame({"pack": group.pack, "bucket": group.bucket, "bits": bits, "n": [int(x.sum()) for x in np.split(out, ends[:-1])]})
+    out = []
+    for mask in (shared, hot):
+        placed = np.empty(len(every), bool)
+        placed[order] = mask[which]
+        out.append(np.split(placed, ends[:-1]))
+    return pd.DataFrame({"pack": group.pack, "bucket": group.bucket, "bits": [_bits(*x) for x in zip(*out, strict=True)], "n": [int(x.sum()) for x in out[0]]})
 
 
-#: What a part's bytes are preceded by: its side and where its key starts.
-_HEADS = [[bytes([side, shift]) for shift in range(SIDE + 1)] for side in (0, 1)]
+#: What a part's bytes are preceded by: its side (2 for a window of a hot owner) and where its key or owner starts.
+_HEADS = [[bytes([side, shift]) for shift in range(WINDOW)] for side in (0, 1, 2)]
 
 
 def _parts(own: _Owners, replies, buckets: int):
@@ -247,16 +268,21 @@ def _parts(own: _Owners, replies, buckets: int):
     first window) that it stands for."""
     order, dealt = _dealt(own.distinct, buckets)
     places = {b: order[first:last] for b, first, last in dealt}
-    shared = np.zeros(len(own.distinct), bool)
+    shared, hot = np.zeros(len(own.distinct), bool), np.zeros(len(own.distinct), bool)
     for r in replies:
         if r["bucket"] >= 0:
             mine = places[r["bucket"]]
-            shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
-    hits = np.split(shared[own.which], np.cumsum(own.sizes)[:-1]) if len(own.docs) else []
+            shared[mine], hot[mine] = _masks(r["bits"], len(mine))
+    ends = np.cumsum(own.sizes)[:-1]
+    hits = zip(np.split(shared[own.which], ends), np.split(hot[own.which], ends), strict=True) if len(own.docs) else ()
     windows: dict[bytes, list[tuple[int, int]]] = {}
-    left, right = _HEADS[1], _HEADS[0]
-    for place, ((_, text, (s, e, p)), hit) in enumerate(zip(own.docs, hits, strict=True)):
-        for a, b, at in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist(), strict=True):
+    right, left, whole = _HEADS
+    for place, ((_, text, (s, e, p)), (hit, heat)) in enumerate(zip(own.docs, hits, strict=True)):
+        for a, b, at, many in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist(), heat[hit].tolist(), strict=True):
+            if many:
+                for w in range(a, b):
+                    windows.setdefault(whole[at - w] + text[w : w + WINDOW], []).append((place, w))
+                continue
             middle = min(max(a, at - SIDE), b)  # windows before it have more on the left
             if middle < b:
                 part = right[at - middle] + text[middle : b + WINDOW - 1]
@@ -274,7 +300,9 @@ def _parts(own: _Owners, replies, buckets: int):
 
 
 def _key(part: bytes) -> bytes:
-    """Side and key of a part."""
+    """Side and key of a part; a window of a hot owner is its own key."""
+    if part[0] == 2:
+        return part
     at = part[1] + 2
     return part[:1] + part[at : at + KEY]
 
@@ -456,7 +484,7 @@ def _remove(owner_buckets: int, part_buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_owners: int = BUCKET_OWNERS, bucket_parts: int = BUCKET_PARTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_owners: int = BUCKET_OWNERS, bucket_parts: int = BUCKET_PARTS, hot_packs: int = HOT_PACKS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept, kept_sha256) of every row: the removed byte spans and what is left.
 
     Null text is empty.  Rows with a null doc_id are kept whole and are no one's smaller document.  Rows that
@@ -467,9 +495,9 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_owners:
     packed = packs(docs, total, pack_bytes)
     owner_buckets = max(1, -(-total // (14 * bucket_owners)))
     known = packed.join(cut(copies(packed)).hint("merge"), "pack", "left").select("pack", "ids", "sizes", "data", "copies")
-    sent = known.mapInArrow(_send_owners(owner_buckets), "bucket long, pack long, hashes binary, several binary")
+    sent = known.mapInArrow(_send_owners(owner_buckets, hot_runs), "bucket long, pack long, hashes binary, several binary")
     # copies are handed on in buckets of their own, one for each pack
-    met = cut(sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("pack")).otherwise(0).alias("own")).applyInPandas(_meet_owners, "pack long, bucket long, bits binary, n long"))
+    met = cut(sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("pack")).otherwise(0).alias("own")).applyInPandas(lambda group: _meet_owners(group, hot_packs), "pack long, bucket long, bits binary, n long"))
     part_buckets = max(1, -(-2 * (met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // bucket_parts))
     replies = cut(met.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies")))
     told = packed.join(replies.hint("merge"), "pack").select("pack", "ids", "sizes", "data", "replies")

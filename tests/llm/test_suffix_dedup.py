@@ -60,7 +60,7 @@ def edge_rows():
     return rows + [(300 + i, "".join(rng.choice("ijkl") for _ in range(80)) + passage[i % 5 :] + "".join(rng.choice("mnop") for _ in range(30))) for i in range(20)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"pack_bytes": 300, "bucket_owners": 20, "bucket_parts": 10}])
+@pytest.mark.parametrize("bounds", [{}, {"pack_bytes": 300, "bucket_owners": 20, "bucket_parts": 10}, {"hot_packs": 0}, {"pack_bytes": 300, "hot_packs": 1}, {"hot_runs": 2}])
 def test_against_brute_force(spark, bounds):
     rows = edge_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
