@@ -46,7 +46,7 @@ KEY = GRAM + SIDE
 #: Bytes of text in a pack, owners in a bucket of step 2 and parts in a bucket of step 4, about.
 PACK_BYTES, BUCKET_OWNERS, BUCKET_PARTS = 4 << 20, 500_000, 150_000
 #: Packs of a task, about; an owner is hot if more packs than this have it, or one has more runs of it than this.
-TASK_PACKS, HOT_PACKS, HOT_RUNS = 3, 1024, 256
+TASK_PACKS, HOT_PACKS, HOT_RUNS = 3, 512, 1024
 #: Texts longer than this are cut for owner search, with an overlap of a window; positions take 24 bits.
 SEGMENT = 8 << 20
 #: Symbols below which small texts are sorted in lockstep.
@@ -276,12 +276,16 @@ def _parts(own: _Owners, replies, buckets: int):
     ends = np.cumsum(own.sizes)[:-1]
     hits = zip(np.split(shared[own.which], ends), np.split(hot[own.which], ends), strict=True) if len(own.docs) else ()
     windows: dict[bytes, list[tuple[int, int]]] = {}
+    runs: dict[bytes, list[tuple[int, int]]] = {}  # of hot owners: most of them are alike
     right, left, whole = _HEADS
     for place, ((_, text, (s, e, p)), (hit, heat)) in enumerate(zip(own.docs, hits, strict=True)):
         for a, b, at, many in zip(s[hit].tolist(), e[hit].tolist(), p[hit].tolist(), heat[hit].tolist(), strict=True):
             if many:
-                for w in range(a, b):
-                    windows.setdefault(whole[at - w] + text[w : w + WINDOW], []).append((place, w))
+                run = whole[at - a] + text[a : b + WINDOW - 1]
+                if run in runs:
+                    runs[run].append((place, a))
+                else:
+                    runs[run] = [(place, a)]
                 continue
             middle = min(max(a, at - SIDE), b)  # windows before it have more on the left
             if middle < b:
@@ -296,6 +300,9 @@ def _parts(own: _Owners, replies, buckets: int):
                     windows[part].append((place, a))
                 else:
                     windows[part] = [(place, a)]
+    for run, held in runs.items():
+        for w in range(len(run) - 2 - WINDOW + 1):
+            windows.setdefault(whole[run[1] - w] + run[2 + w : 2 + w + WINDOW], []).extend([(place, a + w) for place, a in held] if w else held)
     return windows
 
 
