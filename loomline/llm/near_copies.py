@@ -1,10 +1,12 @@
-"""Near copies by an exact join of shingle sets.
+"""Near copies by SimHash, and by an exact join of shingle sets where fingerprints are far apart.
 
-Two texts link if the Jaccard similarity of their sets of 5-word shingles is 4/5 or more.  Shingles are 64-bit
-hashes in one order: by value, those that very many texts hold last.  Of n shingles the n - ceil(4n/5) + 1 first
+Two texts link if the Jaccard similarity of their sets of 5-word shingles is 4/5 or more.  Sets whose SimHash fingerprints
+differ in 10 bits or fewer are found by tables of their blocks (``simhash.together``); their texts are fetched and their sets
+compared.  Linked texts can be farther apart than that, so a prefix join names the pairs that fingerprints didn't bring
+together.  Shingles are 64-bit hashes in one order: by value, those that very many texts hold last.  Of n shingles the n - ceil(4n/5) + 1 first
 are a text's prefix: linked texts share a shingle of their prefixes, so joining prefixes loses no pair, whatever
 the order; putting common shingles last only keeps them out of most prefixes.  Texts that share a prefix shingle
-are a bucket.  Sizes and parity sketches, which rule out no linked pair, first split buckets into components of
+are a bucket, which is left out if fingerprints brought all to one of them.  Sizes and parity sketches, which rule out no linked pair, first split buckets into components of
 pairs that may link; only these texts are fetched, and their sets compared.  Equal buckets count once.  Buckets and
 components of any size are dealt in blocks, each pair of blocks to one group.  Nothing is dropped or capped.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from loomline.llm import simhash
 from loomline.llm.common import components, cut, slices, text_bytes, whole_groups
 
 SHINGLE, SEED = 5, 42
@@ -172,12 +175,12 @@ def stars(nodes: np.ndarray, n: np.ndarray, sketches: list[bytes], sets: list[np
     return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(label.tolist()) if r != i]
 
 
-SETS = "doc_id long, node long, t long, n int, sketch binary, rare array<long>, common array<long>"
+SETS = "doc_id long, node long, t long, n int, fp long, sketch binary, rare array<long>, common array<long>"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, t, n, sketch, rare, common) of every row: the hash of its shingle set, that of its text, and the
-    set's size, sketch and prefix; the latter are null where the same task has them in an earlier row, so that copies stay small."""
+    """(doc_id, node, t, n, fp, sketch, rare, common) of every row: the hash of its shingle set, that of its text, and the
+    set's size, fingerprint, sketch and prefix; the last four are null where the same task has them in an earlier row, so that copies stay small."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +194,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 seen.add(node)
             keys = [prefix(s, held.value) if x else None for s, x in zip(found, new, strict=True)]
             lists = [pa.array([x and x[i].view(np.int64) for x in keys], pa.list_(pa.int64())) for i in (0, 1)]
+            fps = pa.array([simhash.signed(simhash.majority(s)) if x else None for s, x in zip(found, new, strict=True)], pa.int64())
             sketches = pa.array([_sketch(s) if x else None for s, x in zip(found, new, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1), pa.array([len(s) for s in found], pa.int32()), sketches, *lists], ["doc_id", "node", "t", "n", "sketch", "rare", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1), pa.array([len(s) for s in found], pa.int32()), fps, sketches, *lists], ["doc_id", "node", "t", "n", "fp", "sketch", "rare", "common"])
 
     return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("t"), "text").mapInArrow(run, SETS)
 
@@ -254,18 +258,25 @@ def _each_bucket(compare: Callable[[dict[str, list]], list[tuple[int, int]]]):
 def links(docs: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between nodes that span every component of the graph of linked texts.
 
-    Sizes and sketches first tell which members of a bucket may link;
-    the components of these pairs are few and small, and only their texts are fetched and compared.
+    Fingerprints bring texts together first; of the buckets of the prefix join those are left out whose texts all
+    met the same one.  In the rest sizes and sketches tell which members may link.  The components of all
+    these pairs are few and small, and only their texts are fetched and compared.
     """
+    met = cut(simhash.together(sets.filter("fp is not null").select(F.col("node").alias("v"), "fp").dropDuplicates(["v"]), bucket=bucket))
+    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("l"))
     common = sets.select("node", F.explode("common").alias("key"))
     sizes = common.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     lists = _rare(sets.select("node", F.explode("rare").alias("key")), bucket).union(_dealt(common.join(sizes, "key"), F.ceil(F.col("size") / bucket)))
-    sketched = _buckets(lists).join(sets.filter("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "node").select("bucket", "node", "n", "sketch")
+    held = cut(_buckets(lists).join(label, "node", "left").select("bucket", "node", F.coalesce("l", "node").alias("l")))
+    apart = held.groupBy("bucket").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("bucket")
+    sketched = held.join(apart, "bucket").join(sets.filter("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "node").select("bucket", "node", "n", "sketch")
 
     def may_link(part: dict[str, list]) -> list[tuple[int, int]]:
         return stars(np.array(part["node"], np.int64), np.array(part["n"], np.int64), part["sketch"])
 
-    near = cut(components(sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket(may_link), "a long, b long")))
+    far = sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket(may_link), "a long, b long")
+    near = cut(components(met.union(far)))
     rows = sets.select(F.col("node").alias("v"), "doc_id", "t", "n")
     wanted = cut(near.join(rows, "v").dropDuplicates(["v"]).withColumnRenamed("v", "node"))
     sizes = wanted.groupBy("l").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / bucket)).alias("most"))

@@ -107,3 +107,23 @@ def test_the_stage_drops_copies_whose_fingerprints_are_far_apart(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other))]
     assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() > 2
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [1]
+
+
+def test_fingerprints_bring_texts_together_and_the_join_the_rest(spark, monkeypatch):
+    rng = random.Random(0)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    rows = [(1, words), (2, [*words[:-1], "edited"]), (3, ["edited" if i % 50 == 25 else w for i, w in enumerate(words)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)
+    first, near, far = (simhash.majority(near_copies.shingle_set(" ".join(w).encode())) for _, w in rows)
+    assert (first ^ near).bit_count() <= simhash.WIDE < min((first ^ far).bit_count(), (near ^ far).bit_count())
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [1]
+    rare = near_copies._rare
+    monkeypatch.setattr(near_copies, "_rare", lambda keyed, bucket: rare(keyed.limit(0), bucket))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+
+
+def test_texts_of_near_fingerprints_are_compared_exactly(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(2)]
+    monkeypatch.setattr(simhash, "together", lambda nodes, bucket: nodes.selectExpr("min(v) as a", "max(v) as b"))
+    assert near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).count() == 2

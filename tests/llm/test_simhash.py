@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -96,3 +98,63 @@ def test_components_of_long_chains(spark):
     edges = spark.range(0, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 1001)], "a long, b long"))
     found = {r.v: r.l for r in components(edges).collect()}
     assert {found[v] for v in range(201)} == {0} and found[1001] == 1000
+
+
+def test_blocks_cover_all_bits_and_keys_are_short():
+    bounds = simhash.block_bounds(simhash.WIDE + 3)
+    assert [b for first, width in bounds for b in range(first, first + width)] == list(range(64))
+    assert 3 * max(width for _, width in bounds) <= 16
+
+
+def test_majority_of_hashes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 70_000):
+        hashes = rng.integers(1 << 63, size=n).astype(np.uint64) * np.uint64(2)
+        every = hashes.tolist()
+        assert simhash.majority(hashes) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in every) > n)
+
+
+@pytest.mark.parametrize("bucket, part", [(simhash.BUCKET, simhash.PART), (1, 40)])
+def test_together_against_brute_force(spark, monkeypatch, bucket, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(6)
+    fps = [0, (1 << 64) - 1]
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        for flips in (0, 4, simhash.WIDE, simhash.WIDE, simhash.WIDE, simhash.WIDE + 1, simhash.WIDE + 1, 15, 30):
+            x ^= sum(1 << i for i in rng.sample(range(64), flips))
+            fps.append(x)
+    rows = [(1000 - i, simhash.signed(x)) for i, x in enumerate(fps + fps[:20])]
+    label = {v: v for v, _ in rows}
+    for v, x in rows:
+        for w, y in rows:
+            if ((x ^ y) % 2**64).bit_count() <= simhash.WIDE and label[v] != label[w]:
+                old, new = max(label[v], label[w]), min(label[v], label[w])
+                label = {k: new if lab == old else lab for k, lab in label.items()}
+    got = {v: v for v, _ in rows}
+    for a, b in simhash.together(spark.createDataFrame(rows, "v long, fp long"), bucket=bucket).collect():
+        old, new = max(got[a], got[b]), min(got[a], got[b])
+        got = {k: new if lab == old else lab for k, lab in got.items()}
+    assert got == label
+
+
+def test_buckets_of_all_sizes_span_the_same_components():
+    rng = np.random.default_rng(4)
+    sizes = (1, 2, 60, 65, 300, 1)
+    centres = np.repeat(rng.integers(1 << 62, size=8).astype(np.uint64), 60)[: sum(sizes)]
+    x = np.unique(rng.permutation(centres) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 8)) & (1 << 64) - 1 for _ in centres], np.uint64))
+    key = np.repeat(np.arange(len(sizes)), sizes)[: len(x)]
+
+    def parts(edges):
+        label = {int(v): int(v) for v in x.view(np.int64)}
+        for a, b in edges:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {v: new if lab == old else lab for v, lab in label.items()}
+        return label
+
+    brute = [(int(a), int(b)) for k in set(key.tolist()) for i, a in enumerate(x[key == k].view(np.int64)) for b in x[key == k].view(np.int64)[:i] if ((int(a) ^ int(b)) % 2**64).bit_count() <= simhash.WIDE]
+    found, many = simhash._bucket_edges(x, key, simhash.WIDE, simhash.BUCKET)
+    assert brute and parts(found) == parts(brute) and not many
+    found, many = simhash._bucket_edges(x, key, simhash.WIDE, 50)
+    dealt = [e for values in many for e in simhash._wide_stars(values.view(np.uint64), simhash.WIDE)]
+    assert max(map(len, many)) <= 100 and parts(found + dealt) == parts(brute)
