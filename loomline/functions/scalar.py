@@ -65,33 +65,30 @@ def mode_label(mode: Column) -> Column:
     return F.when(mode == "row_template", "row").when(mode.like("columnar%"), "columnar").otherwise(mode)
 
 
-def tenths(x: Column) -> Column:
-    """A number with one decimal, ties to even as printf does (the JVM's own formatting rounds ties up)."""
-    low = F.floor(x * 10)
-    tie = (low + 0.5) / 10  # x is compared with the tie as doubles, so only exact ties are even
-    up = F.when(x > tie, 1).when(x < tie, 0).otherwise(F.when(((low + 0.5) / 10 == x) & (x * 8 == F.floor(x * 8)), low % 2).when(_binary_below(x), 0).otherwise(1))
-    return F.format_string("%.1f", (low + up) / 10.0)
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals, as printf writes it: the double's exact value is rounded, ties to even.
 
-
-def _binary_below(x: Column) -> Column:
-    """Whether the double nearest to a decimal tie lies below it: then multiplying by a power of two and a tenth
-    part shows the sign of the rounding error."""
-    scaled = x * 20
-    return scaled < F.round(scaled)
+    ``format_number`` does that (``format_string`` rounds the shortest decimal of the double, ties up).  From 2^53 on doubles are
+    whole numbers, all of whose digits are written.
+    """
+    high = F.floor(F.abs(x) / (1 << 32))
+    whole = high.cast("decimal(22,0)") * F.lit(1 << 32).cast("decimal(10,0)") + (F.abs(x) - high * float(1 << 32)).cast("long").cast("decimal(10,0)")
+    digits = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("." + "0" * places))
+    return F.when(F.abs(x) < 1 << 53, F.call_function("format_number", x, F.lit("0." + "0" * places))).otherwise(digits)
 
 
 def format_bytes(n: Column) -> Column:
     """B, KB, MB or GB, null as n/a."""
     kb, mb = 1024.0, 1024.0 * 1024
-    text = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.concat(tenths(n / kb), F.lit(" KB")))
-    text = text.when(n < 1 << 30, F.concat(tenths(n / mb), F.lit(" MB"))).otherwise(F.format_string("%.2f GB", n / (1024 * mb)))
+    text = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.concat(fixed(n / kb, 1), F.lit(" KB")))
+    text = text.when(n < 1 << 30, F.concat(fixed(n / mb, 1), F.lit(" MB"))).otherwise(F.concat(fixed(n / (1024 * mb), 2), F.lit(" GB")))
     return F.when(n.isNull(), "n/a").otherwise(text)
 
 
 def format_delta(size: Column, baseline: Column, subject: str, label: str) -> Column:
     """A sentence that compares two sizes."""
     off = F.abs(size - baseline)
-    pct = tenths(F.try_divide(off, baseline) * 100)
+    pct = fixed(F.try_divide(off, baseline) * 100, 1)
     said = F.concat(F.lit(f"{subject} is "), F.format_number(off, 0), F.lit(" bytes ("), pct, F.lit("%) "))
     return (
         F.when(baseline == 0, "(baseline size is 0, delta not meaningful)")

@@ -47,6 +47,24 @@ def test_format_bytes_of_every_document(spark, tmp_path):
     assert said == {1: "5 B", 2: "2.0 KB", 3: "1.0 MB", 4: "3.00 GB", 5: "n/a"}
 
 
+def test_sizes_are_said_as_printf_says_them(spark, tmp_path):
+    rng = random.Random(5)
+    sizes = [(540, 18009), (20, 2000), (1, 2000), (3, 2000), (7, 8), (1, 1 << 62), (0, 0), (5, 0), (9, 9), (-3, -7), (-10, -5), *((rng.randrange(6000), rng.randrange(1, 120_000)) for _ in range(20_000)), *((b * t // 2000, b) for t in range(1, 4000, 2) for b in (2000, 18_000, 64_000))]
+    sizes += [(1 << 60, 3), (9_000_000_000_000_000_123, 7)]
+    spark.createDataFrame([(i, 1, p, s) for i, (s, p) in enumerate(sizes)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def want(s, p):
+        if p == 0 or s == p:
+            return "(baseline size is 0, delta not meaningful)" if p == 0 else "archive is equal in size to baseline."
+        return f"archive is {abs(s - p):,} bytes ({abs(s - p) / p * 100:.1f}%) {'SMALLER' if s < p else 'LARGER'} than baseline."
+
+    assert {r.l_orderkey: r.said for r in queries.q_format_delta(spark, str(tmp_path)).collect()} == {i: want(*x) for i, x in enumerate(sizes)}
+    n = [1152, 1177, 1050, (5 << 30) + (5 << 30) // 8, (1 << 30) + (1 << 30) // 200, *(rng.randrange(1 << 36) for _ in range(5000)), *(rng.randrange(1 << 20) for _ in range(5000))]
+    spark.createDataFrame(list(enumerate(n)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    said = lambda x: f"{x} B" if x < 1024 else f"{x / 1024:.1f} KB" if x < 1 << 20 else f"{x / (1 << 20):.1f} MB" if x < 1 << 30 else f"{x / (1 << 30):.2f} GB"
+    assert {r.doc_id: r.said for r in queries.q_format_bytes(spark, str(tmp_path)).collect()} == {i: said(x) for i, x in enumerate(n)}
+
+
 def test_sequential_deltas_look_past_64_deltas(spark, tmp_path):
     rng = random.Random(3)
     size = chunks.CHUNK
