@@ -160,7 +160,8 @@ def template_archive(spark: SparkSession, files: DataFrame, archive: str, struct
     rows against columns, and compressed bytes of the Parquet tables against the baseline.  What the mode doesn't need
     doesn't stay in the archive.
     """
-    tokens = cut((structure if structured else templates).tokenize(lines_of_files(files)))
+    lines = lines_of_files(files)
+    tokens = cut(structure.tokenize(lines, ["parts", "values"]) if structured else templates.tokenize(lines))
     counts = cut(templates.template_counts(tokens))
     dictionary = templates.template_dictionary(counts)
     found = cut(templates.records(tokens, dictionary))

@@ -599,17 +599,17 @@ def q_v2_template(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_v2_rebuild", f"WITH {_ALL_LINES} SELECT corpus, file_id, line_index::BIGINT AS line_index, line FROM lines")
 def q_v2_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    return _per_corpus(lambda c: _longs(structure.tokenize(table_lines(spark, d, c)), "line_index").select("file_id", "line_index", templates.rebuild(F.col("parts"), F.col("values")).alias("line")))
+    return _per_corpus(lambda c: _longs(structure.tokenize(table_lines(spark, d, c), ["parts", "values"]), "line_index").select("file_id", "line_index", templates.rebuild(F.col("parts"), F.col("values")).alias("line")))
 
 
 @query("q_v2_metrics")
 def q_v2_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _per_corpus(lambda c: structure.tokenize(table_lines(spark, d, c)).transform(metrics.structure_metrics))
+    return _per_corpus(lambda c: structure.tokenize(table_lines(spark, d, c), ["skeleton", "is_json", "json_key"]).transform(metrics.structure_metrics))
 
 
 @query("q_fuzzy_merge")
 def q_fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
-    return _per_corpus(lambda c: structure.fuzzy_merge(structure.tokenize(table_lines(spark, d, c))))
+    return _per_corpus(lambda c: structure.fuzzy_merge(structure.tokenize(table_lines(spark, d, c), ["parts", "skeleton"])))
 
 
 @query("q_json_leaves", "SELECT ascii(event_type)::BIGINT AS file_id, event_id AS line_index, unnest(generate_series(0, len(json_keys(props)) - 1)) AS pos, unnest(json_keys(props)) AS path, json_extract(props, '$.' || unnest(json_keys(props)))::VARCHAR AS raw FROM events WHERE props IS NOT NULL")

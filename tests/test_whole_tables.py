@@ -6,12 +6,13 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 import zstandard
 
 from loomline import queries
 from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
-from loomline.operators import chunks
+from loomline.operators import chunks, structure
 from loomline.streaming import counts
 
 LINES = ["plain user1234 k=v 5", "größe=10 é12 naïve=ja k=ü,b", "é2024-01-02T03:04:05 ١٢ x²7", "a b=1 c=2 http://x.de/ü z", "Straße /pfad/ä/b éuser_abcd12 12é req-abcd1é", "a@b.deé ünit@web.de 1.2.3.4é ²1.2.3.4"]
@@ -95,6 +96,33 @@ def plain_scan(line):
     return [*parts, line[at:]], values, kinds
 
 
+BITS = [*"aZ_01 =\"'[]/.?&@:-+,;|<>\\é²中ſıİ٣\t\u00a0", "12", "2024-01-02", "03:04:05", "../", "c:", "http://", "https://", "k=", "x.de", "ab:cd:ef", "1.2.3.4", "0x1f", "deadbeefdeadbeef", "123e4567-e89b-12d3-a456-426614174000", "req", "request-id:", "TRACE", "user", "session", "[10/Oct/2000:13:55:36 -0700]", "e5"]
+
+
+def test_scanner_tries_patterns_only_where_they_can_match():
+    """Prose tries none, and the marks lose no match: as every kind alone finds them, and every kind replaced in turn."""
+    assert structure._marks("Plain words, with a well-known stop. And another; très bien").kinds == []
+    assert structure._marks("mail a@b.de now").kinds == ["email"]
+    rng = random.Random(2)
+    for _ in range(4000):
+        line = "".join(rng.choice(BITS) for _ in range(rng.randrange(1, 22)))
+        assert structure.scan_text(line) == plain_scan(line)
+        assert structure.normalize(line) == plain_normal(line)
+
+
+def test_lines_are_analysed_in_bounded_pieces(spark):
+    """However large a batch of lines is, so many bytes of them at most are Python objects at once, and results keep their rows."""
+    values = ["x" * n for n in (5, 900, 200, 1, 3000, 0, 0, 7)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(values)], ["id", "line"])
+    cuts = list(structure.pieces(batch, 1, 1000))
+    assert [x for c in cuts for x in c.column(1).to_pylist()] == values
+    assert all(c.num_rows == 1 or sum(len(x or "") for x in c.column(1).to_pylist()) <= 1000 for c in cuts) and len(cuts) == 4
+    lines = [f"a{i % 7} k={i % 3} " + "word " * (i % 50) * 40 for i in range(3000)]
+    found = structure.tokenize(spark.createDataFrame(list(enumerate(lines)), "line_index int, line string").coalesce(1), ["parts", "values"])
+    assert found.columns == ["line_index", "line", "parts", "values"]
+    assert all(r.line == lines[r.line_index] and (r.parts, r["values"]) == plain_scan(r.line)[:2] for r in found.collect())
+
+
 def plain_leaves(value, path=()):
     if isinstance(value, dict) or (isinstance(value, list) and value):
         for k, v in value.items() if isinstance(value, dict) else (("[]", x) for x in value):
