@@ -352,9 +352,17 @@ def tokenize(lines: DataFrame, fields: Sequence[str] = ANALYSIS.names) -> DataFr
     return lines.mapInArrow(run, T.StructType([*lines.schema.fields, *(ANALYSIS[f] for f in fields)]))
 
 
+_WORD = r"[\p{L}\p{N}_]"
+_BOUND = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+#: What follows a word's beginning, and the class of its first character, all of which are word characters: there just what stands before is looked at.
+_BEGINS = {r"\d": r"\p{Nd}", "[0-9a-fA-F]": "[0-9a-fA-F]", "(?:[0-9A-Fa-f]{1,4}:)": "[0-9A-Fa-f]", "(?:0x[0-9A-Fa-f]+|[0-9A-Fa-f]{16,})": "[0-9A-Fa-f]", "[A-Za-z_]": "[A-Za-z_]", "(?:req": r"[rtusRTUSſ]"}
+#: The pattern that can end in other characters than a word's.
+_OPEN_END = KINDS["ipv6"]
+
+
 def _unicode(pattern: str) -> str:
     """The pattern in the JVM's syntax with the character classes, word ends and case folding of Python's str patterns."""
-    word, out, inside, i = r"[\p{L}\p{N}_]", "", False, 0
+    out, inside, i = "", False, 0
     classes = {"d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}"}
     while i < len(pattern):
         c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
@@ -362,16 +370,48 @@ def _unicode(pattern: str) -> str:
         if c[1:] in classes:
             out += classes[c[1:]] if inside else f"[{classes[c[1:]]}]"
         elif c == r"\b" and not inside:
-            out += f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+            first = next((x for begin, x in _BEGINS.items() if pattern.startswith(begin, i)), None)
+            at_end = pattern[i:] in ("", ")") and pattern != _OPEN_END
+            out += f"(?={first})(?<!{_WORD})" if first else f"(?!{_WORD})" if at_end else _BOUND
         else:
             inside = c == "[" or (inside and c != "]")
             out += c
     return out.replace("(?i:", "(?iu:")
 
 
+def _can_hold(text: Column, kind: str) -> Column:
+    """What a text needs to hold a match of a kind, or of a key=value pair."""
+    any_of = lambda *words: functools.reduce(Column.__or__, [F.lower(text).contains(w) for w in words])
+    match kind:
+        case "timestamp":
+            return text.contains(":") & text.rlike(r"\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}")
+        case "uuid":
+            return text.contains("-") & text.rlike("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")
+        case "url":
+            return text.contains("://")
+        case "query":
+            return text.contains("?") & text.contains("&")
+        case "email":
+            return text.contains("@")
+        case "ipv4":
+            return text.contains(".") & text.rlike(r"\p{Nd}\.\p{Nd}")
+        case "ipv6":
+            return text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")
+        case "path":
+            return text.contains("/")
+        case "hex":
+            return text.contains("0x") | text.rlike("[0-9A-Fa-f]{16}")
+        case "id":
+            return any_of("req", "trace", "user", "sess") | text.contains("ſ")
+        case "number":
+            return text.rlike(r"\p{Nd}")
+        case _:
+            return text.contains("=")
+
+
 def kind_counts(line: Column) -> list[Column]:
     """A count for each kind, alone, and of key=value pairs."""
-    return [F.regexp_count(line, F.lit(_unicode(p))).cast("long").alias(f"n_{k}") for k, p in KINDS.items()] + [F.regexp_count(line, F.lit(_unicode(KEY_VALUE))).cast("long").alias("n_kv")]
+    return [F.when(~_can_hold(line, k), 0).otherwise(F.regexp_count(line, F.lit(_unicode(p)))).cast("long").alias(f"n_{k}") for k, p in [*KINDS.items(), ("kv", KEY_VALUE)]]
 
 
 def key_values(lines: DataFrame) -> DataFrame:
@@ -381,11 +421,16 @@ def key_values(lines: DataFrame) -> DataFrame:
     return pairs.select("file_id", "line_index", F.lower("kv.key").alias("key"), F.col("kv.value").alias("value"))
 
 
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda text: F.when(_can_hold(text, kind), F.regexp_replace(text, _unicode(KINDS[kind]), NORMAL_NAMES.get(kind, f"<{kind}>"))).otherwise(text)
+
+
 def normalized(part: Column) -> Column:
     """Literal text with kinds replaced by their names, in built-in expressions."""
-    out = F.regexp_replace(F.lower(F.trim(part)), _unicode(r"\s+"), " ")
-    for k in NORMAL_ORDER:
-        out = F.regexp_replace(out, _unicode(KINDS[k]), NORMAL_NAMES.get(k, f"<{k}>"))
+    # whole runs of blanks, except that single spaces stay
+    out = F.regexp_replace(F.lower(F.trim(part)), r"[\s\x1c-\x1f\x85\p{Z}&&[^ ]][\s\x1c-\x1f\x85\p{Z}]*| [\s\x1c-\x1f\x85\p{Z}]+", " ")
+    for kind in NORMAL_ORDER:  # a list of one gives the text so far a name, so that it is computed once
+        out = F.transform(F.array(out), _named(kind))[0]
     return out
 
 

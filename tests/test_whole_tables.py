@@ -9,10 +9,12 @@ import time
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from loomline import queries
-from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
-from loomline.operators import chunks, structure
+from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER, SIMPLE
+from loomline.operators import chunks, structure, templates
+from loomline.session import cut
 from loomline.streaming import counts
 
 LINES = ["plain user1234 k=v 5", "größe=10 é12 naïve=ja k=ü,b", "é2024-01-02T03:04:05 ١٢ x²7", "a b=1 c=2 http://x.de/ü z", "Straße /pfad/ä/b éuser_abcd12 12é req-abcd1é", "a@b.deé ünit@web.de 1.2.3.4é ²1.2.3.4"]
@@ -42,6 +44,34 @@ def test_structure_queries_read_every_line(spark, tmp_path):
     assert {r.file_id: r.normal for r in queries.q_normalize(spark, str(tmp_path)).collect()} == {i: normal(t) for i, t in enumerate(LINES)}
 
 
+def test_patterns_of_the_jvm_find_what_plain_ones_find(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(BITS) for _ in range(rng.randrange(1, 22))) for _ in range(3000)] + LINES + ["", "  two\t\u2003blanks  ", "no variables, well-known"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", structure.normalized(F.col("line")).alias("normal"), templates.parts_of(F.col("line")).alias("parts"), templates.values_of(F.col("line")).alias("vals"), *structure.kind_counts(F.col("line")))
+    simple = re.compile(SIMPLE, re.ASCII)
+    for r in rows.collect():
+        line = lines[r.i]
+        assert r.normal == normal(line)
+        assert [r[f"n_{k}"] for k in KINDS] + [r.n_kv] == [len(re.findall(p, line)) for p in [*KINDS.values(), KEY_VALUE]]
+        assert (r.parts, r.vals) == (simple.split(line), simple.findall(line))
+
+
+def test_patterns_are_not_tried_on_plain_prose(spark):
+    """A line that can't hold a kind is not searched for it: prose takes a fraction of the time of the patterns."""
+    prose = "the quick brown fox jumps over the lazy dog and then walks home with nothing in its mind " * 40
+    rows = cut(spark.range(3000).select(F.concat(F.lit(prose), F.translate(F.col("id").cast("string"), "0123456789", "ghijklmnop")).alias("line")))
+
+    def took(*columns):
+        times = []
+        for _ in range(3):
+            at = time.time()
+            rows.select(*columns).write.format("noop").mode("overwrite").save()
+            times.append(time.time() - at)
+        return min(times)
+
+    assert took(*structure.kind_counts(F.col("line"))) < took(*(F.regexp_count("line", F.lit(structure._unicode(p))) for p in KINDS.values())) / 2
+
+
 def test_format_bytes_of_every_document(spark, tmp_path):
     spark.createDataFrame([(1, 5), (2, 2048), (3, 1 << 20), (4, 3 << 30), (5, None)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     said = {r.doc_id: r.said for r in queries.q_format_bytes(spark, str(tmp_path)).collect()}
