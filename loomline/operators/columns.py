@@ -15,8 +15,8 @@ from loomline.functions.scalar import array_header, bin_size, is_canonical_int,
 from loomline.operators.numbering import positions
 from loomline.session import cut_dealt
 
-#: Cells of a partition, about.
-PART_CELLS = 2_000_000
+#: Cells of a partition, about; places in which a template's rows meet its first one.
+PART_CELLS, SPAN = 2_000_000, 65_536
 # Rows in a block; share and step of columns that deltas suit; encodings in order of preference.
 BLOCK_ROWS = 262_144
 DELTA_SHARE, DELTA_STEP = 0.9, 16
@@ -25,11 +25,17 @@ KEY = ["tpl_id", "block_id", "slot"]
 
 
 def numbered_rows(found: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Template records with ``row_no`` (place in their template's order) and ``block_id``."""
+    """Template records with ``row_no`` (place in their template's order) and ``block_id``.
+
+    Rows meet their template's first place by template and span of places, so that no key has more than ``SPAN`` rows.
+    """
     placed = positions(found.filter("tpl_id is not null").select("tpl_id", "file_id", "line_index", "values"), ["tpl_id", "file_id", "line_index"], "at")
-    first = placed.groupBy("tpl_id").agg(F.min("at").alias("first"))
+    placed = placed.withColumn("span", F.floor(F.col("at") / SPAN))
+    spans = placed.groupBy("tpl_id", "span").agg(F.min("at").alias("first"))
+    firsts = spans.groupBy("tpl_id").agg(F.min("first").alias("first"))
     row_no = F.col("at") - F.col("first")
-    return placed.join(first, "tpl_id").select("tpl_id", "file_id", "line_index", "values", row_no.alias("row_no"), F.floor(row_no / block_rows).alias("block_id"))
+    joined = placed.join(spans.drop("first").join(firsts, "tpl_id"), ["tpl_id", "span"])
+    return joined.select("tpl_id", "file_id", "line_index", "values", row_no.alias("row_no"), F.floor(row_no / block_rows).alias("block_id"))
 
 
 def slots(rows: DataFrame) -> DataFrame:

@@ -15,14 +15,25 @@ from loomline.operators.numbering import positions
 MIN_OCCURRENCES = 2
 #: A text file with a smaller share of template lines is kept raw.
 MIN_FILE_RATE = 0.10
+#: Lines from which a template is hot, if they are also more than a thousandth of all: a join doesn't bring its lines together.
+HOT_LINES = 100_000
+
+
+#: The variable tokens, tried only where their first character can be one's.
+_TOKEN = rf"(?=[0-9a-fA-F\[h-])(?:{SIMPLE})"
+
+
+def _may_vary(line: Column) -> Column:
+    """Whether a line can hold variables: these need a digit, or a scheme, or the first group of a UUID."""
+    return line.rlike("[0-9]") | line.contains("://") | (line.contains("-") & line.rlike("[a-fA-F]{8}-"))
 
 
 def parts_of(line: Column) -> Column:
-    return F.split(line, SIMPLE, -1)
+    return F.when(~_may_vary(line), F.array(line)).otherwise(F.split(line, _TOKEN, -1))
 
 
 def values_of(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({SIMPLE})"), F.lit(1))
+    return F.when(~_may_vary(line), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1)))
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
@@ -51,19 +62,45 @@ def template_dictionary(counts: DataFrame, least: int = MIN_OCCURRENCES) -> Data
     return positions(counts.filter(F.col("n") >= least), ["first_file", "first_line"], "tpl_id")
 
 
+def _hot(dictionary: DataFrame) -> DataFrame | None:
+    """The few templates (a thousand at most) that a large share of the lines has, if there are any."""
+    if "n" not in dictionary.columns:
+        return None
+    most, lines = dictionary.agg(F.max("n"), F.sum("n")).first()
+    least = max(HOT_LINES, (lines or 0) // 1000)
+    return dictionary.filter(F.col("n") >= least) if (most or 0) >= least else None
+
+
+def _met(tokens: DataFrame, dictionary: DataFrame, how: str) -> DataFrame:
+    """``tokens`` joined with a dictionary by ``parts``.
+
+    Rows of hot templates stay where they are and those templates are broadcast; all others meet in a shuffle, in which no
+    key has many rows.
+    """
+    hot = _hot(dictionary)
+    if hot is None:
+        return tokens.join(dictionary, "parts", how)
+    wide, few = F.broadcast(hot.select("parts")), F.broadcast(hot)
+    rest = tokens.join(wide, "parts", "left_anti").join(dictionary.join(wide, "parts", "left_anti"), "parts", how)
+    return rest if how == "left_anti" else tokens.join(few, "parts", "left_semi" if how == "left_semi" else "inner").unionByName(rest)
+
+
 def records(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(file_id, line_index, tpl_id, values, line): tpl_id is null for raw lines, which keep the line."""
-    joined = tokens.join(dictionary.select("parts", "tpl_id"), "parts", "left")
+    """(file_id, line_index, tpl_id, values, line): tpl_id is null for raw lines, which keep the line.
+
+    ``tokens`` are read twice where there are hot templates, so they should be a cut table.
+    """
+    joined = _met(tokens, dictionary, "left")
     raw = F.col("tpl_id").isNull()
     return joined.select("file_id", "line_index", "tpl_id", F.when(~raw, F.col("values")).alias("values"), F.when(raw, F.col("line")).alias("line"))
 
 
 def raw_lines(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    return tokens.join(dictionary, "parts", "left_anti").select("file_id", "line_index", "line")
+    return _met(tokens, dictionary, "left_anti").select("file_id", "line_index", "line")
 
 
 def templated_lines(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    return tokens.join(dictionary, "parts", "left_semi").select("file_id", "line_index", "line")
+    return _met(tokens, dictionary, "left_semi").select("file_id", "line_index", "line")
 
 
 def file_rates(found: DataFrame) -> DataFrame:

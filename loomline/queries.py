@@ -65,9 +65,13 @@ def _dictionary(spark: SparkSession, d: str, corpus: str) -> DataFrame:
     return templates.template_dictionary(templates.template_counts(_tokens(spark, d, corpus)))
 
 
-def _records(spark: SparkSession, d: str, corpus: str) -> DataFrame:
+def _tokens_and_dictionary(spark: SparkSession, d: str, corpus: str) -> tuple[DataFrame, DataFrame]:
     tokens = cut(_tokens(spark, d, corpus))
-    return templates.records(tokens, templates.template_dictionary(templates.template_counts(tokens)))
+    return tokens, templates.template_dictionary(templates.template_counts(tokens))
+
+
+def _records(spark: SparkSession, d: str, corpus: str) -> DataFrame:
+    return templates.records(*_tokens_and_dictionary(spark, d, corpus))
 
 
 def _joined(c: str):
@@ -101,12 +105,12 @@ def q_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_raw_lines", f"WITH {_DICT} SELECT corpus, file_id, line_index::BIGINT AS line_index, line FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM dict d WHERE d.corpus = t.corpus AND d.parts = t.parts)")
 def q_raw_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _per_corpus(lambda c: templates.raw_lines(_tokens(spark, d, c), _dictionary(spark, d, c)).withColumn("line_index", F.col("line_index").cast("long")))
+    return _per_corpus(lambda c: templates.raw_lines(*_tokens_and_dictionary(spark, d, c)).withColumn("line_index", F.col("line_index").cast("long")))
 
 
 @query("q_templated_lines", f"WITH {_DICT} SELECT corpus, file_id, line_index::BIGINT AS line_index, line FROM tokens t WHERE EXISTS (SELECT 1 FROM dict d WHERE d.corpus = t.corpus AND d.parts = t.parts)")
 def q_templated_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _per_corpus(lambda c: templates.templated_lines(_tokens(spark, d, c), _dictionary(spark, d, c)).withColumn("line_index", F.col("line_index").cast("long")))
+    return _per_corpus(lambda c: templates.templated_lines(*_tokens_and_dictionary(spark, d, c)).withColumn("line_index", F.col("line_index").cast("long")))
 
 
 _RATES = f"{_RECORDS}, rates AS (SELECT corpus, file_id, count(*) AS n_lines, count(tpl_id) AS hits, count(*) - count(tpl_id) AS raw, coalesce(sum(len(vals)), 0)::BIGINT AS slots, count(tpl_id) / count(*) AS rate FROM records GROUP BY corpus, file_id)"
@@ -167,8 +171,8 @@ def q_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_roundtrip_check", "SELECT doc_id AS file_id, sha256(coalesce(text, '')) AS sha FROM documents")
 def q_roundtrip_check(spark: SparkSession, d: str) -> DataFrame:
-    dictionary = _dictionary(spark, d, "documents")
-    lines = templates.restored(templates.records(_tokens(spark, d, "documents"), dictionary), dictionary)
+    tokens, dictionary = _tokens_and_dictionary(spark, d, "documents")
+    lines = templates.restored(templates.records(tokens, dictionary), dictionary)
     return templates.restored_texts(lines).select("file_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 

@@ -29,6 +29,34 @@ def test_every_line_is_rebuilt(spark, tokenizer):
     assert templates.integrity_errors(found, dictionary).count() == 0
 
 
+def test_hot_templates_stay_dealt(spark, monkeypatch):
+    """A template that most lines have comes to no single task: neither where lines meet templates, nor where they are numbered."""
+    monkeypatch.setattr(templates, "HOT_LINES", 500)
+    monkeypatch.setattr(columns, "SPAN", 100)
+    rows = [(i % 3, i, f"a {i}" if i % 10 else f"b{'x' * (i % 70)} {i}" if i % 20 else f"only {'y' * i}") for i in range(4000)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(kept, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        tokens = cut(templates.tokenize(spark.createDataFrame(rows, "file_id long, line_index int, line string").repartition(4)))
+        dictionary = templates.template_dictionary(templates.template_counts(tokens))
+        found = templates.records(tokens, dictionary)
+        numbered = columns.numbered_rows(found)
+        largest = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest(found) < 2000 and largest(templates.templated_lines(tokens, dictionary)) < 2000 and largest(numbered) < 2000
+        assert sorted(tuple(r) for r in templates.restored(found, dictionary).collect()) == sorted(rows)
+        hit = {(r.file_id, r.line_index) for r in templates.templated_lines(tokens, dictionary).collect()}
+        raw = {(r.file_id, r.line_index) for r in templates.raw_lines(tokens, dictionary).collect()}
+        assert raw == {(f, i) for f, i, line in rows if line.startswith("only")} and hit == {(f, i) for f, i, _ in rows} - raw
+        per = {}
+        for f, i, t in sorted((r.file_id, r.line_index, r.tpl_id) for r in found.collect() if r.tpl_id is not None):
+            per.setdefault(t, []).append((f, i))
+        assert {(r.tpl_id, r.row_no, r.file_id, r.line_index) for r in numbered.collect()} == {(t, n, f, i) for t, x in per.items() for n, (f, i) in enumerate(x)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_integrity_errors_are_found(spark):
     found = spark.createDataFrame([(1, 0, 5, ["x"], None), (1, 1, 0, ["x"], None), (1, 3, None, None, None)], "file_id long, line_index int, tpl_id long, values array<string>, line string")
     dictionary = spark.createDataFrame([(0, ["a", "b", "c"])], "tpl_id long, parts array<string>")
