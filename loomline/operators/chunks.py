@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.operators.numbering import positions
+from loomline.sources.batches import pieces
 
 # Chunk sizes and boundary mask, share of equal bytes that makes a base, and bases looked at.
 CHUNK = 4096
@@ -74,15 +76,16 @@ def content_chunks(files: DataFrame, seed: bytes = GEAR_SEED, least: int = CDC_M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table(seed)
         for batch in batches:
-            ids, seqs, chunks = [], [], []
-            for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = 0
-                for seq, end in enumerate(cut_points(data or b"", table, least, most, mask)):
-                    ids.append(file_id)
-                    seqs.append(seq)
-                    chunks.append(data[at:end])
-                    at = end
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(chunks, pa.binary())], ["file_id", "seq", "data"])
+            for piece in pieces(batch, 1):
+                ids, seqs, chunks = [], [], []
+                for file_id, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    at = 0
+                    for seq, end in enumerate(cut_points(data or b"", table, least, most, mask)):
+                        ids.append(file_id)
+                        seqs.append(seq)
+                        chunks.append(data[at:end])
+                        at = end
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(chunks, pa.binary())], ["file_id", "seq", "data"])
 
     return files.select(F.col("file_id").cast("long"), "content").mapInArrow(run, "file_id long, seq int, data binary")
 
@@ -207,25 +210,34 @@ def sequential_deltas(dictionary: DataFrame, width: int = RANGE) -> DataFrame:
     last ``CANDIDATES`` of those are looked at.
 
     The rule makes each choice depend on those before it, so ids are dealt to ranges of ``width`` that run in
-    parallel, each with its own bases; within a range the result is that of a single pass.
+    parallel, each with its own bases; within a range the result is that of a single pass.  A range passes in order
+    of ids, and a worker holds its last ``CANDIDATES`` bases and a piece of a batch.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        whole: list[tuple[int, bytes]] = []
-        out = []
-        for chunk_id, data in group.sort_values("chunk_id")[["chunk_id", "data"]].itertuples(index=False):
-            x, best = np.frombuffer(data, np.uint8), (0, -1, b"")
-            for base_id, base in whole[-CANDIDATES:]:
-                if len(base) == len(data):
-                    equal = int(np.count_nonzero(np.frombuffer(base, np.uint8) == x))
-                    if equal > int(SIMILARITY * len(data)) and equal >= best[0]:
-                        best = (equal, base_id, base)
-            diffs = byte_delta(best[2], data) if best[1] >= 0 else []
-            if best[1] >= 0 and delta_size(diffs) < len(data):
-                out.append((chunk_id, best[1], len(data), diffs))
-            else:
-                whole.append((chunk_id, data))
-        return pd.DataFrame(out, columns=["chunk_id", "base_id", "target_len", "diffs"])
-
-    ranged = dictionary.select("chunk_id", "data", F.floor(F.col("chunk_id") / width).alias("range"))
-    return ranged.groupBy("range").applyInPandas(run, f"chunk_id long, base_id long, target_len long, diffs {DIFFS.simpleString()}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: deque[tuple[int, bytes]] = deque(maxlen=CANDIDATES)
+        now = None
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                out = []
+                for chunk_id, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    if chunk_id // width != now:
+                        now = chunk_id // width
+                        whole.clear()
+                    x, best = np.frombuffer(data, np.uint8), (0, -1, b"")
+                    for base_id, base in whole:
+                        if len(base) == len(data):
+                            equal = int(np.count_nonzero(np.frombuffer(base, np.uint8) == x))
+                            if equal > int(SIMILARITY * len(data)) and equal >= best[0]:
+                                best = (equal, base_id, base)
+                    diffs = byte_delta(best[2], data) if best[1] >= 0 else []
+                    if best[1] >= 0 and delta_size(diffs) < len(data):
+                        out.append((chunk_id, best[1], len(data), [dict(zip(("off", "byte"), d, strict=True)) for d in diffs]))
+                    else:
+                        whole.append((chunk_id, data))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk_id", "base_id", "target_len", "diffs"])
+
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("off", pa.int32()), ("byte", pa.int16())]))]
+    ranged = dictionary.select("chunk_id", "data").repartition(F.floor(F.col("chunk_id") / width)).sortWithinPartitions("chunk_id")
+    return ranged.mapInArrow(run, f"chunk_id long, base_id long, target_len long, diffs {DIFFS.simpleString()}")

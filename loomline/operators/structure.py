@@ -15,22 +15,20 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.patterns import JSON_BLANK, JSON_NUMBER, JSON_STRING, KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER
+from loomline.sources.batches import pieces
 
 _PAIR = re.compile(KEY_VALUE)
 _SUBSTITUTIONS = [(k, re.compile(KINDS[k]), NORMAL_NAMES.get(k, f"<{k}>")) for k in NORMAL_ORDER]
 _STRING, _NUMBER, _BLANK = re.compile(JSON_STRING, re.DOTALL), re.compile(JSON_NUMBER), re.compile(JSON_BLANK)
-#: Distinct lines whose analysis a worker keeps, and literals whose normal form it keeps, and their length at most; bytes of lines analysed at once.
+#: Distinct lines whose analysis a worker keeps, and literals whose normal form it keeps, and their length at most.
 CACHED, CACHED_CHARS = 4_096, 256
-PIECE_BYTES = 1 << 20
 _STRINGS = T.ArrayType(T.StringType())
 ANALYSIS = T.StructType([T.StructField(n, _STRINGS) for n in ("parts", "values", "kinds", "skeleton")] + [T.StructField("is_json", T.BooleanType()), T.StructField("json_key", _STRINGS)])
 LEAVES = T.ArrayType(T.StructType([T.StructField("path", _STRINGS), T.StructField("raw", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
@@ -320,16 +318,6 @@ def leaves(line: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about so many bytes of a column at most; a longer value is a slice of its own."""
-    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
-    ends, at = np.cumsum(sizes), 0
-    while at < len(ends):
-        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def tokenize(lines: DataFrame, fields: Sequence[str] = ANALYSIS.names) -> DataFrame:
     """``lines`` with ``fields`` of the analysis of each line; nothing is shuffled, and what recurs among the lines of a piece is scanned once.
 

@@ -29,6 +29,28 @@ def test_every_line_is_rebuilt(spark, tokenizer):
     assert templates.integrity_errors(found, dictionary).count() == 0
 
 
+def test_sequential_ranges_pass_through_workers(spark):
+    """Ranges that share a partition keep their own bases, chunks come in order of ids, and no range is one group in memory."""
+    rng = random.Random(9)
+    base = bytes(rng.randrange(256) for _ in range(200))
+    data = [bytes([i]) + base[1:] if i % 5 else bytes(rng.randrange(256) for _ in range(200)) for i in range(60)]
+    rows = [(i, bytearray(x)) for i, x in enumerate(data)]
+    rng.shuffle(rows)
+    found = chunks.sequential_deltas(spark.createDataFrame(rows, "chunk_id long, data binary").repartition(3), 8)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    want = {}
+    for start in range(0, 60, 8):
+        whole = []
+        for i in range(start, min(start + 8, 60)):
+            same = [(sum(a == b for a, b in zip(data[j], data[i], strict=True)), j) for j in whole]
+            equal, j = max(same, default=(0, -1))
+            if equal > 160:
+                want[i] = (j, [(n, b) for n, (a, b) in enumerate(zip(data[j], data[i], strict=True)) if a != b])
+            else:
+                whole.append(i)
+    assert {r.chunk_id: (r.base_id, [(d.off, d.byte) for d in r.diffs]) for r in found.collect()} == want and len(want) > 20
+
+
 def test_hot_templates_stay_dealt(spark, monkeypatch):
     """A template that most lines have comes to no single task: neither where lines meet templates, nor where they are numbered."""
     monkeypatch.setattr(templates, "HOT_LINES", 500)

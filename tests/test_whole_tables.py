@@ -15,6 +15,7 @@ from loomline import queries
 from loomline.functions.patterns import KEY_VALUE, KINDS, NORMAL_NAMES, NORMAL_ORDER, SIMPLE
 from loomline.operators import chunks, structure, templates
 from loomline.session import cut
+from loomline.sources.batches import pieces
 from loomline.streaming import counts
 
 LINES = ["plain user1234 k=v 5", "größe=10 é12 naïve=ja k=ü,b", "é2024-01-02T03:04:05 ١٢ x²7", "a b=1 c=2 http://x.de/ü z", "Straße /pfad/ä/b éuser_abcd12 12é req-abcd1é", "a@b.deé ünit@web.de 1.2.3.4é ²1.2.3.4"]
@@ -144,7 +145,7 @@ def test_lines_are_analysed_in_bounded_pieces(spark):
     """However large a batch of lines is, so many bytes of them at most are Python objects at once, and results keep their rows."""
     values = ["x" * n for n in (5, 900, 200, 1, 3000, 0, 0, 7)] + [None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(values)], ["id", "line"])
-    cuts = list(structure.pieces(batch, 1, 1000))
+    cuts = list(pieces(batch, 1, 1000))
     assert [x for c in cuts for x in c.column(1).to_pylist()] == values
     assert all(c.num_rows == 1 or sum(len(x or "") for x in c.column(1).to_pylist()) <= 1000 for c in cuts) and len(cuts) == 4
     lines = [f"a{i % 7} k={i % 3} " + "word " * (i % 50) * 40 for i in range(3000)]
